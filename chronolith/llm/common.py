@@ -55,3 +55,9 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, column: str =
 
 def rows_out(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def pinned(df: DataFrame, **columns) -> DataFrame:
+    """Adds columns that are computed once per row: the optimizer neither merges them into later expressions, where a
+    fold over an array would make the array anew for each element, nor moves filters on them below."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
