@@ -2,10 +2,584 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..ml import models as M
+from ..operators import errors as E
+from ..operators import features as X
+from ..operators import graph as G
+from ..operators import labels as L
+from ..operators import splits as P
+from ..sources import history as H
+from ..sources import upserts as U
+from ..streaming import sync
+from . import sql as Q
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _queries[f.__name__.strip("_")] = f
+        if sql:
+            _sql[f.__name__.strip("_")] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def rd(c, n: int = 6):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def us(c: str = "date", name: str = "date_us"):
+    return F.unix_micros(c).alias(name)
+
+
+def facts(spark, d, view: str = "orders") -> DataFrame:
+    return X.at_least(H.commit_facts(spark, d, view))
+
+
+def labelled(spark, d, view: str = "orders", as_of: str = Q.AS_OF) -> DataFrame:
+    return L.add_target(L.label(X.add_history(facts(spark, d, view)), as_of))
+
+
+def history_split(spark, d) -> DataFrame:
+    return P.split_by_history(labelled(spark, d))
+
+
+def errors(spark, d) -> DataFrame:
+    f = facts(spark, d)
+    rows = X.add_committer(labelled(spark, d), X.significant_committers(f))
+    return E.error_frame(E.median_baseline(P.split_by_history(rows)))
+
+
+def modelled(spark, d) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
+    """Split feature rows of all generators with the model's columns, in total and by generator."""
+    df, groups, seen = facts(spark, d), {}, set(facts(spark, d).columns)
+    for name, add in (("CommitHistory", X.add_history), ("FilePath", X.add_path), ("FileSize", lambda x: X.add_ema(X.add_size(x))), ("LineChange", X.add_lines)):
+        df = add(df)
+        groups[name] = [c for c in df.columns if c not in seen]
+        seen |= set(df.columns)
+    df = P.split_by_history(L.add_target(L.label(df, Q.AS_OF)))
+    return df, [c for cs in groups.values() for c in cs], groups
+
+
+def rows_of(spark, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# Scans and filters
+
+
+@query(f"WITH {Q.facts()} SELECT ord, path, epoch_us(date) AS date_us, size, committer, lines_added, lines_deleted, line_change FROM facts")
+def commit_fact(spark, d):
+    return facts(spark, d).select("ord", "path", us(), "size", "committer", "lines_added", "lines_deleted", "line_change")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000")
+def collection_scan(spark, d):
+    return H.scan(H.table(spark, d, "orders"), (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 100000), ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 42")
+def point_lookup(spark, d):
+    return H.point_lookup(H.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", 42)
+
+
+@query("SELECT DISTINCT l_orderkey AS sha FROM lineitem")
+def key_scan(spark, d):
+    return H.key_set(H.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha")), "sha")
+
+
+def _tracking(spark, d) -> DataFrame:
+    f = H.commit_facts(spark, d)
+    e = F.struct(F.col("ord").cast("string").alias("sha"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), "committer", "size", F.col("lines_added").alias("additions"), F.col("lines_deleted").alias("deletions"), F.col("line_change").alias("total_changes"))
+    return f.groupBy("path").agg(F.collect_list(e).alias("commit_history"))
+
+
+@query(f"WITH {Q.base()} SELECT path, CAST(epoch_us(date) AS BIGINT) AS date_us, size, committer, lines_added, lines_deleted, line_change FROM base")
+def history_scan(spark, d):
+    return H.explode_history(_tracking(spark, d)).select("path", us(), "size", "committer", "lines_added", "lines_deleted", "line_change")
+
+
+@query(f"WITH {Q.base()} SELECT DISTINCT path FROM base WHERE ord = 77")
+def nested_exists(spark, d):
+    return H.has_commit(_tracking(spark, d), "77").select("path")
+
+
+@query(f"WITH {Q.base()} SELECT path, count(*) AS n FROM base WHERE starts_with(path, 'src/t') GROUP BY path")
+def prefix_filter(spark, d):
+    return H.in_directory(H.commit_facts(spark, d), "src/t").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT concat('dir.x/f', l_partkey, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE '.py' END) AS path FROM lineitem WHERE l_partkey % 3 <> 0""")
+def dotted_paths(spark, d):
+    name = F.concat(F.lit("dir.x/f"), F.col("l_partkey"), F.when(F.col("l_partkey") % 3 == 0, "").otherwise(".py"))
+    commits = H.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(name.alias("filename"))).alias("files"))
+    return H.paths_of_commits(commits)
+
+
+@query("""SELECT event_id, CAST(CASE WHEN event_id % 5 = 1 THEN 0 ELSE floor(value) END AS BIGINT) AS size FROM events
+WHERE (event_id % 5 = 1 AND event_id % 2 = 0) OR (event_id % 5 = 4) OR (event_id % 5 = 0 AND false)""")
+def content_status(spark, d):
+    k = F.col("event_id") % 5
+    e = H.table(spark, d, "events").select("event_id", F.when(k == 1, 404).otherwise(200).alias("http_status"), (k == 2).alias("is_list"), F.when(k == 3, "symlink").otherwise("file").alias("kind"), F.when(k.isin(3, 4), F.floor("value")).cast("long").alias("size"), (F.col("event_id") % 2 == 1).alias("renamed"))
+    return H.content_status(e).select("event_id", "size")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS sha, l_partkey AS path, max(l_linenumber) AS a, max(CAST(l_quantity AS BIGINT)) AS x FROM lineitem GROUP BY 1, 2),
+c AS (SELECT o_orderkey AS sha, o_custkey AS path, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS login, o_orderstatus AS name, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders)
+SELECT c.sha, c.path, coalesce(nullif(login, ''), name) AS committer, size, coalesce(CAST(a AS BIGINT), 0) AS additions, coalesce(x, 0) AS total_changes FROM c LEFT JOIN f USING (sha, path)""")
+def history_entries(spark, d):
+    c = H.table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("path"), F.col("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("login"), F.col("o_orderstatus").alias("name"), F.floor("o_totalprice").cast("long").alias("size"))
+    f = H.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("filename"), F.col("l_linenumber").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"), F.col("l_quantity").cast("long").alias("changes"))
+    return H.history_entries(c, f).select("sha", "path", "committer", "size", "additions", "total_changes")
+
+
+# Features
+
+
+def _history(df: DataFrame) -> DataFrame:
+    df = X.add_history(df)
+    return df.select("ord", "path", us(), "commit_num", "commits_last_30d", "commits_last_90d", *[rd(c).alias(c) for c in ("commits_ratio_30d", "commits_ratio_90d", "recent_commit_activity_surge")], "commit_interval_days", "max_commit_interval_to_date", "is_first_commit", rd("std_commit_interval", 5).alias("std_commit_interval"), rd("avg_commit_interval").alias("avg_commit_interval"), "age_in_days", rd("commits_per_day_so_far").alias("commits_per_day_so_far"), "weekday", "month")
+
+
+@query(f"WITH {Q.history()} SELECT {Q.HISTORY_COLUMNS} FROM hist")
+def history_features(spark, d):
+    return _history(facts(spark, d))
+
+
+@query(f"WITH {Q.history('events')} SELECT {Q.HISTORY_COLUMNS} FROM hist")
+def history_features_subday(spark, d):
+    return _history(facts(spark, d, "events"))
+
+
+_FLAG = "CAST(CASE WHEN {} THEN 1 ELSE 0 END AS INTEGER)"
+
+
+@query(f"""WITH {Q.facts()}, top AS (SELECT {Q.EXT} AS ext FROM facts GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15)
+SELECT ord, path, length(path) - length(replace(path, '/', '')) AS path_depth, {Q.EXT} AS ext, CASE WHEN {Q.EXT} IN (SELECT ext FROM top) THEN {Q.EXT} ELSE 'other' END AS ext_grouped,
+{_FLAG.format("regexp_matches(lower(path), '[/_]tests?[/_]')")} AS in_test_dir, {_FLAG.format("regexp_matches(lower(path), '/(?:docs|documentation)/')")} AS in_docs_dir,
+{_FLAG.format("regexp_matches(lower(path), '[.](json|yaml|yml|ini|toml|cfg|conf)$')")} AS is_config_file, {_FLAG.format("suffix(lower(path), '.md') OR suffix(lower(path), '.markdown')")} AS is_markdown,
+{_FLAG.format("contains(lower(path), '.github/workflows/')")} AS is_github_workflow, {_FLAG.format("contains(lower(path), 'readme')")} AS is_readme FROM facts""")
+def path_features(spark, d):
+    f = facts(spark, d)
+    ext = X.S.extension(F.col("path"))
+    top = F.broadcast(X.top_extensions(f).select(F.col("ext").alias("known")))  # 15 rows
+    return X.add_path(f).withColumn("ext", ext).join(top, F.col("ext") == F.col("known"), "left").select("ord", "path", "path_depth", "ext", F.coalesce("known", F.lit("other")).alias("ext_grouped"), *X.PATH_FLAGS)
+
+
+@query(f"WITH {Q.facts()} SELECT ord, " + ", ".join(f"{Q.EXT} = '{e}' AS ext_{e}" for e in ("JSON", "js", "md", "no_ext", "py", "yml")) + " FROM facts")
+def path_onehot(spark, d):
+    f = facts(spark, d)
+    words = X.extension_vocabulary(f)
+    return X.add_extension_flags(f, words).select("ord", *[f"ext_{w}" for w in sorted(words)])
+
+
+@query(f"WITH {Q.sizes()} SELECT * FROM siz")
+def size_features(spark, d):
+    df = X.add_size(facts(spark, d))
+    n = {"cumulative_size": 6, "cumulative_mean_size": 4, "cumulative_std_size": 3, "rolling_7_mean_size": 4, "rolling_7_std_size": 3, "percentage_change_size": 6, "recent_growth_ratio": 3}
+    keep = ["ord", "path", "size", "size_diff", *n, "rolling_7_max_size", "rolling_7_min_size", "rolling_7_median_size", *[f"lag_{k}_size" for k in range(1, 6)]]
+    return df.select(*[rd(c, n[c]).alias(c) if c in n else c for c in keep])
+
+
+@query(f"""WITH RECURSIVE {Q.facts()}, x AS (SELECT ord, path, CAST(size AS DOUBLE) AS size, row_number() OVER ({Q.W}) AS n FROM facts),
+ema AS (SELECT ord, path, n, size AS y FROM x WHERE n = 1 UNION ALL SELECT x.ord, x.path, x.n, 0.25 * x.size + 0.75 * ema.y FROM ema JOIN x ON x.path = ema.path AND x.n = ema.n + 1)
+SELECT ord, path, round(y, 4) AS ema_7_size FROM ema""")
+def size_ema(spark, d):
+    return X.add_ema(X.with_sizes(facts(spark, d))).select("ord", "path", rd("ema_7_size", 4).alias("ema_7_size"))
+
+
+@query(f"""WITH {Q.facts()}, p AS (SELECT *, CAST(lines_added > 0 AND lines_deleted = 0 AS INTEGER) AS pure_addition, CAST(lines_deleted > 0 AND lines_added = 0 AS INTEGER) AS pure_deletion FROM facts)
+SELECT ord, path, {Q.r("CASE WHEN line_change = 0 THEN 0 ELSE lines_added / line_change END")} AS add_ratio, pure_addition, pure_deletion,
+{', '.join(f"CAST(sum({c}) OVER ({Q.RUN}) AS BIGINT) AS cum_{c}" for c in ("lines_added", "lines_deleted", "line_change", "pure_addition", "pure_deletion"))} FROM p""")
+def line_features(spark, d):
+    return X.add_lines(facts(spark, d)).select("ord", "path", rd("add_ratio").alias("add_ratio"), "pure_addition", "pure_deletion", *[f"cum_{c}" for c in ("lines_added", "lines_deleted", "line_change", "pure_addition", "pure_deletion")])
+
+
+_SIG = "sig AS (SELECT committer, regexp_replace(committer, '[^0-9A-Za-z_]', '_', 'g') AS name FROM facts GROUP BY committer HAVING count(*) / (SELECT count(*) FROM facts) >= 0.01)"
+
+
+@query(f"WITH {Q.facts()}, {_SIG} SELECT ord, path, coalesce(name, 'other') AS committer_grouped, coalesce(name, 'other') = 'other' AS committer_other FROM facts LEFT JOIN sig USING (committer)")
+def committer_features(spark, d):
+    f = facts(spark, d)
+    df = X.one_hot(X.add_committer(f, X.significant_committers(f)), "committer_grouped", "committer", ["other"])
+    return df.select("ord", "path", "committer_grouped", "committer_other")
+
+
+@query()
+def feature_frame(spark, d):
+    """All generators together, with the fitted one-hot columns, labels and filled nulls."""
+    df, _ = X.feature_frame(H.commit_facts(spark, d))
+    return X.filled(L.add_target(L.label(df, Q.AS_OF)))
+
+
+# Labels
+
+
+@query(f"WITH {Q.labels()} SELECT ord, path, epoch_us(completion_date) AS completion_us, completion_reason, days_until_completion FROM lab")
+def labels(spark, d):
+    return labelled(spark, d).select("ord", "path", us("completion_date", "completion_us"), "completion_reason", "days_until_completion")
+
+
+@query(f"WITH {Q.labels('events', Q.AS_OF_EVENTS)} SELECT ord, path, epoch_us(completion_date) AS completion_us, completion_reason, days_until_completion FROM lab")
+def labels_subday(spark, d):
+    return labelled(spark, d, "events", Q.AS_OF_EVENTS).select("ord", "path", us("completion_date", "completion_us"), "completion_reason", "days_until_completion")
+
+
+@query(f"WITH {Q.labels()} SELECT cutoff FROM cutoff")
+def inactivity_cutoff(spark, d):
+    return L.inactivity_cutoff(X.add_history(facts(spark, d)))
+
+
+@query(f"""WITH {Q.labels()}, f AS (SELECT path, max(completion_reason) AS completion_reason FROM lab GROUP BY path),
+t AS (SELECT count(*) AS total_files, count(completion_reason) AS completed_files FROM f)
+SELECT completion_reason, count(*) AS files, total_files, completed_files, {Q.r("completed_files * 100.0 / total_files")} AS completion_ratio FROM f, t WHERE completion_reason IS NOT NULL GROUP BY ALL""")
+def completion_summary(spark, d):
+    return L.completion_summary(labelled(spark, d)).withColumn("completion_ratio", rd("completion_ratio"))
+
+
+_CORR = ("commit_num", "commits_last_30d", "commits_last_90d", "commit_interval_days", "max_commit_interval_to_date", "std_commit_interval", "avg_commit_interval", "age_in_days", "weekday", "month", "line_change")
+
+
+@query(f"""WITH {Q.labels()}, one AS (SELECT {', '.join(f'corr({c}, days_until_completion) AS {c}' for c in _CORR)} FROM lab),
+long AS (UNPIVOT one ON {', '.join(_CORR)} INTO NAME feature VALUE correlation) SELECT feature, round(correlation, 6) AS correlation FROM long ORDER BY abs(correlation) DESC, feature LIMIT 20""")
+def feature_correlation(spark, d):
+    return E.correlations(labelled(spark, d), list(_CORR)).withColumn("correlation", rd("correlation"))
+
+
+# Splits and scaling
+
+
+@query(f"WITH {Q.by_history()} SELECT ord, path, split FROM split")
+def split_history(spark, d):
+    return history_split(spark, d).select("ord", "path", "split")
+
+
+@query(f"WITH {Q.by_file()} SELECT ord, path, split FROM fsplit")
+def split_file(spark, d):
+    return P.split_by_file(labelled(spark, d)).select("ord", "path", "split")
+
+
+@query(f"""WITH {Q.by_history()} SELECT count(DISTINCT CASE WHEN split = 'train' THEN path END) AS train_files, count(DISTINCT CASE WHEN split = 'test' THEN path END) AS test_files, count(DISTINCT path) AS total_files,
+count(*) FILTER (split = 'train') AS train_commits, count(*) FILTER (split = 'test') AS test_commits, count(*) AS total_commits FROM split""")
+def dataset_stats(spark, d):
+    return P.dataset_stats(history_split(spark, d))
+
+
+_SCALED = ("commit_num", "age_in_days", "line_change", "is_first_commit")
+
+
+@query(f"""WITH {Q.by_history()}, q AS (SELECT {', '.join(f"quantile_cont({c}, 0.5) AS m_{c}, CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) THEN 1 ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS q_{c}" for c in _SCALED)} FROM split WHERE split = 'train')
+SELECT ord, split, {', '.join(f"round((CAST({c} AS DOUBLE) - m_{c}) / q_{c}, 6) AS {c}" for c in _SCALED)} FROM split, q""")
+def robust_scale(spark, d):
+    s = history_split(spark, d)
+    return P.scale(s, P.fit_scaler(s.where("split = 'train'"), list(_SCALED)), list(_SCALED)).select("ord", "split", *[rd(c).alias(c) for c in _SCALED])
+
+
+# Errors of the median baseline
+
+
+@query(f"WITH {Q.errors()} SELECT {Q.r('avg(residual * residual)', 4)} AS mse, {Q.r('avg(abs_error)')} AS mae, {Q.r('stddev_samp(abs_error)')} AS mae_std, {Q.r('sqrt(avg(residual * residual))')} AS rmse, {Q.r('median(abs_error)')} AS mdae FROM err")
+def median_baseline_eval(spark, d):
+    m = E.metrics(errors(spark, d))
+    return m.select(rd("mse", 4).alias("mse"), *[rd(c).alias(c) for c in ("mae", "mae_std", "rmse", "mdae")])
+
+
+@query(f"WITH {Q.errors()} SELECT ord, path, {Q.r('pred')} AS pred, {Q.r('residual')} AS residual, {Q.r('relative_error', 4)} AS relative_error, error_type, true_bin, age_bin FROM err")
+def error_frame(spark, d):
+    return errors(spark, d).select("ord", "path", rd("pred").alias("pred"), rd("residual").alias("residual"), rd("relative_error", 4).alias("relative_error"), "error_type", "true_bin", "age_bin")
+
+
+def _slice(name: str, column: str):
+    def run(spark, d):
+        return E.by_slice(errors(spark, d), column).select(column, rd("mean_error").alias("mean_error"), rd("std_error").alias("std_error"))
+
+    run.__name__ = name
+    query(Q.slice_sql(column))(run)
+
+
+for _name, _column in (("error_by_extension", "extension"), ("error_by_dir", "top_dir"), ("error_by_reason", "completion_reason"), ("error_by_committer", "committer_grouped"), ("error_by_bin", "true_bin")):
+    _slice(_name, _column)
+
+
+@query(f"WITH {Q.errors()}, " + "x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS slice, {c} AS value, abs_error FROM err" for c in E.SLICES) + f") SELECT slice, value, {Q.r('avg(abs_error)')} AS mean_error, {Q.r('stddev_samp(abs_error)')} AS std_error FROM x WHERE value IS NOT NULL GROUP BY slice, value")
+def error_all_slices(spark, d):
+    return E.all_slices(errors(spark, d)).select("slice", "value", rd("mean_error").alias("mean_error"), rd("std_error").alias("std_error"))
+
+
+@query(f"WITH {Q.errors()}, b AS (SELECT unnest(['0-30', '31-90', '91-180', '181-365', '365+']) AS age_bin) SELECT b.age_bin, {Q.r('avg(abs_error)')} AS mae, {Q.r('stddev_samp(abs_error)')} AS mae_std FROM b LEFT JOIN err USING (age_bin) GROUP BY b.age_bin")
+def error_by_age(spark, d):
+    return E.by_age(errors(spark, d)).select("age_bin", rd("mae").alias("mae"), rd("mae_std").alias("mae_std"))
+
+
+@query(f"WITH {Q.errors()} SELECT error_type, count(*) AS n FROM err GROUP BY error_type")
+def error_types(spark, d):
+    return E.value_counts(errors(spark, d), "error_type")
+
+
+@query(f"WITH {Q.errors()} SELECT ord, path, {Q.r('abs_error')} AS abs_error FROM err ORDER BY abs_error DESC, path, date, ord LIMIT 10")
+def worst_errors(spark, d):
+    return E.extremes(errors(spark, d), 10).select("ord", "path", rd("abs_error").alias("abs_error"))
+
+
+@query(f"WITH {Q.errors()} SELECT ord, path, {Q.r('abs_error')} AS abs_error FROM err ORDER BY abs_error, path, date, ord LIMIT 3")
+def best_errors(spark, d):
+    return E.extremes(errors(spark, d), 3, worst=False).select("ord", "path", rd("abs_error").alias("abs_error"))
+
+
+@query(f"WITH {Q.errors()} SELECT committer_grouped, count(*) AS n FROM err GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
+def top_error_committers(spark, d):
+    return E.value_counts(errors(spark, d), "committer_grouped", 5)
+
+
+@query(f"WITH {Q.labels()}, b AS (SELECT days_until_completion AS x FROM lab WHERE days_until_completion IS NOT NULL) SELECT CAST(CASE WHEN x >= 2000 THEN 21 ELSE floor(x / 100.0) + 1 END AS BIGINT) AS bin, count(*) AS n FROM b GROUP BY 1")
+def target_histogram(spark, d):
+    return E.histogram(labelled(spark, d).where("days_until_completion is not null"), F.col("days_until_completion"), 0.0, 2000.0, 20)
+
+
+@query()
+def pdp_sample(spark, d):
+    return E.sampled(errors(spark, d), ["ord"], 500).select("ord", "path")
+
+
+# Snapshots and writes
+
+
+@query(f"WITH {Q.facts()}, x AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY date DESC, ord DESC) AS k FROM facts) SELECT ord, path, size, committer FROM x WHERE k = 1")
+def latest_per_file(spark, d):
+    return U.latest(facts(spark, d)).select("ord", "path", "size", "committer")
+
+
+@query(f"WITH {Q.facts()} SELECT path, arg_min(size, (date, ord)) AS size_first, arg_max(size, (date, ord)) AS size_last, arg_max(size, (date, ord)) - arg_min(size, (date, ord)) AS size_diff_total FROM facts GROUP BY path")
+def first_last_snapshot(spark, d):
+    return P.first_last(facts(spark, d), ["size"])
+
+
+_O = "SELECT o_orderkey AS sha, o_custkey AS who, o_orderstatus AS status FROM orders"
+
+
+def _orders(spark, d):
+    return H.table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("who"), F.col("o_orderstatus").alias("status"))
+
+
+@query(f"WITH o AS ({_O}), t AS (SELECT * FROM o WHERE sha % 3 <> 0), b AS (SELECT sha, who + 1000000 AS who, status FROM o WHERE sha % 2 = 0 UNION ALL SELECT sha, who + 2000000, status FROM o WHERE sha % 4 = 0) SELECT * FROM t UNION ALL SELECT sha, min(who) AS who, arg_min(status, who) AS status FROM b WHERE sha NOT IN (SELECT sha FROM t) GROUP BY sha")
+def upsert_insert_absent(spark, d):
+    o = _orders(spark, d)
+    even, fourth = o.where("sha % 2 = 0").withColumn("who", F.col("who") + 1_000_000), o.where("sha % 4 = 0").withColumn("who", F.col("who") + 2_000_000)
+    return U.insert_absent(o.where("sha % 3 <> 0"), even.unionByName(fourth), "sha", ["who"])
+
+
+@query(f"WITH o AS ({_O}), t AS (SELECT * FROM o WHERE sha % 3 <> 0), b AS (SELECT sha, who + 1000000 AS who FROM o WHERE sha % 2 = 0) SELECT coalesce(t.sha, b.sha) AS sha, coalesce(b.who, t.who) AS who, t.status FROM t FULL JOIN b ON t.sha = b.sha")
+def upsert_overwrite(spark, d):
+    o = _orders(spark, d)
+    return U.overwrite(o.where("sha % 3 <> 0"), o.where("sha % 2 = 0").select("sha", (F.col("who") + 1_000_000).alias("who")), "sha")
+
+
+@query("SELECT DISTINCT l_orderkey + 1 AS sha FROM lineitem WHERE l_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+def anti_missing(spark, d):
+    want = H.table(spark, d, "lineitem").select((F.col("l_orderkey") + 1).alias("sha"))
+    return U.missing(want, H.table(spark, d, "orders").select(F.col("o_orderkey").alias("sha")).where("sha % 2 = 0"), "sha")
+
+
+@query("SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+def existing_keys(spark, d):
+    return U.existing(H.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p")), H.table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("p")), "p")
+
+
+@query("""WITH a AS (SELECT o_custkey AS path, count(*) FILTER (o_orderkey % 2 = 0) AS old, count(*) FILTER (o_orderkey % 2 = 1) AS more FROM orders GROUP BY 1)
+SELECT path, old + more AS n FROM a WHERE old > 0 OR more > 0""")
+def array_append(spark, d):
+    o = H.table(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("k"))
+    half = lambda m: o.where(F.col("k") % 2 == m).groupBy("path").agg(F.collect_list("k").alias("commit_history"))
+    return U.append_entries(half(0), half(1), upsert=True).select("path", F.size("commit_history").cast("long").alias("n"))
+
+
+@query(f"WITH o AS ({_O}) SELECT * FROM o WHERE who NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def delete_by_key(spark, d):
+    gone = H.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("who"))
+    return U.delete_keys(_orders(spark, d), gone, "who")[0].select("sha", "who", "status")
+
+
+@query(f"WITH o AS ({_O}) SELECT count(*) AS deleted FROM o WHERE who IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def delete_count(spark, d):
+    gone = H.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("who"))
+    return U.delete_keys(_orders(spark, d), gone, "who")[1]
+
+
+@query(f"WITH {Q.history()} SELECT path, count(*) AS n, max(commit_num) AS last_num FROM hist GROUP BY path")
+def feature_writeback(spark, d):
+    packed = U.feature_records(X.add_history(facts(spark, d)))
+    return packed.select("path", F.size("features").cast("long").alias("n"), F.element_at("features", -1)["commit_num"].alias("last_num"))
+
+
+# Graphs
+
+
+def _renames(spark, d):
+    return H.table(spark, d, "part").where("p_partkey % 3 <> 1 and p_partkey > 1").select(F.col("p_partkey").alias("path"), F.floor(F.col("p_partkey") / 2).cast("long").alias("previous"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS path, p_partkey // 2 AS previous FROM part WHERE p_partkey % 3 <> 1 AND p_partkey > 1),
+w AS (SELECT path, previous AS origin, 1 AS depth FROM e UNION ALL SELECT w.path, e.previous, w.depth + 1 FROM w JOIN e ON e.path = w.origin)
+SELECT path, arg_max(origin, depth) AS origin, CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY path""")
+def rename_lineage(spark, d):
+    return G.lineage(_renames(spark, d))
+
+
+_PAIRS = "d AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem), c AS (SELECT a.path AS file1, b.path AS file2, count(*) AS n FROM d a JOIN d b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2)"
+
+
+def _commit_files(spark, d):
+    return H.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path"))
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM c ORDER BY n DESC, file1, file2 LIMIT 20")
+def cooccurrence_topk(spark, d):
+    return G.top_pairs(_commit_files(spark, d))
+
+
+@query(f"WITH {_PAIRS} SELECT path, CAST(sum(n) AS BIGINT) AS total FROM (SELECT file1 AS path, n FROM c UNION ALL SELECT file2, n FROM c) GROUP BY path")
+def cooccurrence_row_sums(spark, d):
+    return G.row_sums(G.cooccurrence(_commit_files(spark, d)))
+
+
+@query(f"WITH {_PAIRS} SELECT file1, file2, n, round(1 - n / (SELECT max(n) FROM c), 6) AS distance FROM c")
+def cooccurrence_distance(spark, d):
+    return G.distances(G.cooccurrence(_commit_files(spark, d))).withColumn("distance", rd("distance"))
+
+
+# Models
+
+
+def _model(name: str, model: str):
+    def run(spark, d):
+        df, columns, _ = modelled(spark, d)
+        df = df.cache()
+        return M.evaluate(M.fit(df.where("split = 'train'"), columns, model), df.where("split = 'test'"), columns)
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name, _column in (("ml_linear", "linear_regression"), ("ml_rf", "random_forest"), ("ml_gbt", "gradient_boosting"), ("ml_xgb", "xgboost"), ("ml_lgbm", "lightgbm")):
+    _model(_name, _column)
+
+
+def _fitted(spark, d, model="linear_regression"):
+    df, columns, groups = modelled(spark, d)
+    df = df.cache()
+    return df, columns, groups, M.fit(df.where("split = 'train'"), columns, model)
+
+
+@query()
+def importances(spark, d):
+    _, columns, _, model = _fitted(spark, d, "random_forest")
+    return rows_of(spark, M.importances(model, columns), "feature string, importance double")
+
+
+@query()
+def shap_linear(spark, d):
+    df, columns, _, model = _fitted(spark, d)
+    return M.mean_contributions(M.linear_contributions(model, df, columns), columns)
+
+
+@query()
+def pdp(spark, d):
+    df, columns, _, model = _fitted(spark, d, "random_forest")
+    return M.partial_dependence(model, E.sampled(df, ["ord"]), columns, "age_in_days", [0, 100, 400, 1000, 2000])
+
+
+@query()
+def ice(spark, d):
+    df, columns, _, model = _fitted(spark, d, "random_forest")
+    return M.partial_dependence(model, E.sampled(df, ["ord"], 50), columns, "age_in_days", [0, 100, 400], ice=True)
+
+
+@query()
+def pdp_2d(spark, d):
+    df, columns, _, model = _fitted(spark, d, "random_forest")
+    return M.partial_dependence_2d(model, E.sampled(df, ["ord"]), columns, "age_in_days", [0, 400, 1000], "is_config_file")
+
+
+@query()
+def ablation(spark, d):
+    df, _, groups = modelled(spark, d)
+    return rows_of(spark, M.ablation(df, groups), "configuration string, mae double")
+
+
+@query()
+def tuning(spark, d):
+    df, columns, _ = modelled(spark, d)
+    best, err = M.tune(df.where("split = 'train'"), columns, "linear_regression", trials=3, k=2)
+    return rows_of(spark, [(str(best), err)], "params string, mae double")
+
+
+@query()
+def learning_curve(spark, d):
+    df, columns, _ = modelled(spark, d)
+    df = df.cache()
+    return rows_of(spark, M.learning_curve(df.where("split = 'train'"), df.where("split = 'test'"), columns, "linear_regression"), "share double, mse double")
+
+
+@query()
+def predict_unlabelled(spark, d):
+    df, columns, groups, model = _fitted(spark, d)
+    full = X.add_lines(X.add_ema(X.add_size(X.add_path(X.add_history(facts(spark, d))))))
+    return M.predict_unlabelled(model, L.add_target(L.label(full, Q.AS_OF)), columns, latest_only=True)
+
+
+@query()
+def clusters(spark, d):
+    rows = facts(spark, d).groupBy("path").agg(F.avg("size").alias("size"), F.avg("line_change").alias("change"), F.count("*").cast("double").alias("n"))
+    return M.cluster(rows, ["size", "change", "n"], 4).select("path", "cluster")
+
+
+@query()
+def elbow(spark, d):
+    rows = facts(spark, d).groupBy("path").agg(F.avg("size").alias("size"), F.avg("line_change").alias("change"))
+    return rows_of(spark, M.elbow(rows, ["size", "change"]), "k int, cost double")
+
+
+# Streaming
+
+
+def _scratch(spark) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return os.path.join(top, f"chronolith-{uuid.uuid4().hex}")
+
+
+@query("SELECT user_id AS sha, min(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_upsert(spark, d):
+    e = H.table(spark, d, "events")
+    stream = sync.landed(spark, d, e.schema, files="events.parquet").select(F.col("user_id").alias("sha"), "event_id")
+    at = _scratch(spark)
+    sync.upsert_stream(stream, f"{at}/store", f"{at}/marks").awaitTermination()
+    return spark.read.parquet(f"{at}/store").select("sha", "event_id")
+
+
+@query("SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_activity(spark, d):
+    e = H.table(spark, d, "events")
+    stream = sync.landed(spark, d, e.schema, files="events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    name = f"activity_{uuid.uuid4().hex}"
+    q = sync.activity(stream, "ts", "event_type", lateness="60 days").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_scratch(spark)}/marks").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(us("start", "start_us"), "event_type", "n")
