@@ -1,9 +1,9 @@
 """BPE encoding and decoding by batched numpy merge rounds over a public tokenizer file.
 
-A text is cut at its added tokens, then at white space; each distinct piece is normalised and split once per cache.
-The symbols of all pieces not met before lie in one flat array. A round looks up every adjacent pair in the sorted
-pair keys by binary search, takes each word's lowest rank and merges that pair from the left, until no word has a
-pair left. Pieces then give their ids by offset, so a text's ids are one gather.
+A text is cut at its added tokens, normalised and split into words. The symbols of all words not met before lie in
+one flat array. A round takes each word's lowest rank, merges that pair from the left and looks the pairs next to it
+up in the sorted pair keys by binary search, until no word has a pair left. Words then give their ids by offset, so
+the ids of a batch of texts are one gather.
 
 Defined cases: a null text is an empty one, with no ids; a text of any length is one row, handled whole.
 """
@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import id_text, rows_out, slices
 
-#: Distinct pieces kept by one task before its cache starts anew.
-CACHE = 200_000
+#: Distinct words kept by one Python worker before its cache starts anew.
+CACHE = 400_000
+BEYOND = re.compile("[^\x00-\u017f]").search
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +44,18 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Words(dict):
+    """Numbers words as they are looked up; fresh holds those that have no ids yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Bpe:
     """A tokenizers JSON file of a word-end BPE (NFC, white space to one space, lower case; split by pattern, byte level)."""
 
@@ -51,15 +67,23 @@ class Bpe:
         if kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
             raise ValueError("a tokenizer of another kind")
         vocab = model["vocab"]
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.path, self.library = path, None
+        # Up to U+017F, where lower case stays within these classes and no character composes, re does the splitting.
+        low = [chr(c) for c in range(0x180)]
+        some = lambda kind: "".join(regex.escape(c) for c in low if unicodedata.category(c)[0] == kind)
+        letters, numbers, spaces = some("L"), some("N"), "\t-\r \x85\xa0"
+        near = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[^{spaces}{letters}{numbers}]").replace("\\p{L}", letters).replace("\\p{N}", numbers)
+        self.fast = re.compile(near).findall
+        #: White space as the file's pattern means it: not the separators U+001C-001F, which str.split() also cuts at.
+        self.spaces = re.compile("[" + spaces + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.path = path
-        self.library = None
-        self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.size = max([*vocab.values(), *self.added.values()]) + 1
         self.tokens = [""] * self.size
         for text, i in [*vocab.items(), *self.added.items()]:
             self.tokens[i] = text
+        self.texts = np.array(self.tokens, object)
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + suffix] for x in letters], np.int64)
@@ -71,120 +95,123 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        """An empty cache of pieces."""
-        self.index: dict[str, int] = {}
+        """An empty cache of words."""
+        self.index = Words()
         self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    #: White space as the file's pattern \s means it: not the separators U+001C-001F, which str.split() also cuts at.
-    spaces = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-
-    def pieces(self, text: str) -> list[str]:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [x for x in self.spaces.split(text) if x]
-        return text.split()
-
-    def words(self, piece: str) -> list[bytes]:
-        """The normalised, split words of one piece."""
-        if not piece.isascii():
-            if max(piece) > "\u024f":  # there, Unicode versions may differ: the library's own normaliser and splitter decide
-                return self.library_words(piece)
-            piece = unicodedata.normalize("NFC", piece)
-            return [w.encode() for w in self.pattern.findall("".join(c.lower() for c in piece))]  # each letter by itself, as the library does
-        return [w.encode() for w in self.pattern.findall(piece.lower())]
-
-    def library_words(self, piece: str) -> list[bytes]:
+    def words(self, raw: bytes) -> list[str]:
+        """The normalised, split words of a text; an added token is a word of its own, marked by a leading space."""
+        text = raw.decode("utf-8", "replace")
+        if self.cut and "<|" in text:
+            found: list[str] = []
+            for k, x in enumerate(self.cut.split(text)):
+                found += [" " + x] if k & 1 else self.plain_words(x)
+            return found
+        return self.plain_words(text)
+
+    def plain_words(self, text: str) -> list[str]:
+        if text.isascii() or not BEYOND(text):
+            return self.fast(text.lower())
+        found: list[str] = []
+        for piece in self.spaces.split(text):  # no word and no composition spans white space
+            if BEYOND(piece):
+                found += self.library_words(piece)
+            elif piece:
+                found += self.fast(piece.lower())
+        return found
+
+    def library_words(self, piece: str) -> list[str]:
+        """Where Unicode versions may differ, the library's own normaliser and splitter decide."""
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
             self.byte_of = {x: b for b, x in enumerate(byte_letters())}
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
-        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in split]
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in split]
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], len(self.made))
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many non-empty words in one flat array, and each word's number of ids."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = self.inner[np.frombuffer(b"".join(words), np.uint8)]
-        ends = np.cumsum(lengths)
         raw = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.inner[raw]
+        ends = np.cumsum(lengths)
         symbols[ends - 1] = self.last[raw[ends - 1]]
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbols, done_words = [], []
         none = len(self.made)
+        rank = np.full(len(symbols), none)  # of each symbol with the next one of its word
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        rank[inside] = self.rank_of(symbols[inside], symbols[inside + 1])
         while len(symbols):
-            joins = word[:-1] == word[1:]
-            pair = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.full(len(symbols), none)
-            rank[:-1] = np.where(joins & (self.keys[at] == pair), self.ranks[at], none)
-            starts = np.flatnonzero(np.r_[True, ~joins])
-            sizes = np.diff(np.r_[starts, len(symbols)])
-            least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(symbols)]))
             over = least == none
             if over.any():
                 done_symbols.append(symbols[over])
                 done_words.append(word[over])
             take = (rank == least) & ~over
-            # Of overlapping pairs (a a a) the leftmost goes first, so every other one in a run of taken neighbours.
-            first = take & ~np.r_[False, take[:-1]]
-            place = np.arange(len(take))
-            run = np.maximum.accumulate(np.where(first, place, -1))
-            take &= ((place - run) & 1) == 0
-            symbols = np.where(take, self.made[np.minimum(rank, none - 1)], symbols)
-            keep = ~over & ~np.r_[False, take[:-1]]
-            symbols, word = symbols[keep], word[keep]
+            after = np.r_[False, take[:-1]]
+            if (twin := take & after).any():
+                # Of overlapping pairs (a a a) the leftmost goes first: every other one in a run of taken neighbours.
+                place = np.arange(len(take))
+                run = np.maximum.accumulate(np.where(take & ~twin, place, -1))
+                take &= ((place - run) & 1) == 0
+                after = np.r_[False, take[:-1]]
+            symbols[take] = self.made[rank[take]]
+            keep = ~over & ~after
+            touched = (take | np.r_[take[1:], False] | np.r_[take[2:], False, False][: len(take)])[keep]
+            symbols, word, rank = symbols[keep], word[keep], rank[keep]
+            # Only pairs next to a merge have a new rank.
+            at = np.flatnonzero(touched)
+            rank[at] = none
+            at = at[at + 1 < len(word)]
+            at = at[word[at] == word[at + 1]]
+            rank[at] = self.rank_of(symbols[at], symbols[at + 1])
         if not done_words:
             return np.zeros(0, np.uint32), lengths
         word, symbols = np.concatenate(done_words), np.concatenate(done_symbols)
         return symbols[np.argsort(word, kind="stable")].astype(np.uint32), np.bincount(word, minlength=len(words))
 
-    def learn(self, pieces: list[str]) -> None:
-        """Adds pieces that the cache lacks."""
-        split = [self.words(p) for p in pieces]
-        flat, sizes = self.merge([w for ws in split for w in ws])
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        bounds = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]]
-        for p in pieces:
-            self.index[p] = len(self.index)
-        self.start = np.concatenate([self.start, bounds[:-1] + len(self.flat)])
-        self.length = np.concatenate([self.length, np.diff(bounds)])
+    def learn(self) -> None:
+        """Merges the words that have no ids yet."""
+        fresh, self.index.fresh = self.index.fresh, []
+        plain = [w for w in fresh if w[0] != " "]
+        flat, sizes = self.merge([w.encode() for w in plain])
+        if len(plain) < len(fresh):  # added tokens have their ids from the file
+            owned = [self.added[w[1:]] if w[0] == " " else -1 for w in fresh]
+            at, whole = np.flatnonzero(np.array(owned) >= 0), np.zeros(len(fresh), np.int64)
+            whole[np.array(owned) < 0] = sizes
+            flat = np.insert(flat, np.cumsum(whole)[at], np.array(owned)[at]).astype(np.uint32)
+            whole[at] = 1
+            sizes = whole
+        self.start = np.concatenate([self.start, np.cumsum(sizes) - sizes + len(self.flat)])
+        self.length = np.concatenate([self.length, sizes])
         self.flat = np.concatenate([self.flat, flat])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes | str | None]) -> list[np.ndarray]:
         """Each text's ids, uint32."""
-        parts: list[list] = []
-        for t in texts:
-            found: list = []
-            if self.cut and "<|" in t:
-                for k, x in enumerate(self.cut.split(t)):
-                    if k & 1:
-                        found.append(x)
-                    else:
-                        found += self.pieces(x)
-            else:
-                found = self.pieces(t)
-            parts.append(found)
         if len(self.index) > CACHE:
             self.forget()
-        for x in self.added:
-            if x not in self.index:
-                self.index[x] = len(self.index)
-                self.start, self.length, self.flat = np.r_[self.start, len(self.flat)], np.r_[self.length, 1], np.r_[self.flat, np.uint32(self.added[x])].astype(np.uint32)
-        index = self.index
-        if new := list(dict.fromkeys(p for found in parts for p in found if p not in index)):
-            self.learn(new)
-        out = []
-        for found in parts:
-            at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
-            n = self.length[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(total)])
-        return out
+        words = [self.words(t.encode() if isinstance(t, str) else t or b"") for t in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if self.index.fresh:
+            self.learn()
+        n = self.length[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(total)]
+        return np.split(ids, np.r_[0, ends][np.cumsum(counts)[:-1]]) if len(texts) else []
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' texts joined by one space: the file names no decoder."""
-        return " ".join(map(self.tokens.__getitem__, ids.tolist()))
+        return " ".join(self.texts[ids])
 
 
 def default_path() -> str:
@@ -193,11 +220,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(2)
+def loaded(path: str) -> Bpe:
+    """One model per Python worker: its cache of words serves all tasks that the worker runs."""
+    return Bpe(path)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple[Bpe, pa.RecordBatch, list[np.ndarray]]]:
-    """Batches of (doc_id, text bytes) with their ids; one model and one bounded cache per task."""
-    model = Bpe(path or default_path())
+    """Batches of (doc_id, text bytes) with their ids."""
+    model = loaded(path or default_path())
     for b in slices(batches):
-        yield model, b, model.encode([(t or b"").decode("utf-8", "replace") for t in b.column("text").to_pylist()])
+        yield model, b, model.encode(b.column("text").to_pylist())
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
