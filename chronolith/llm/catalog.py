@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, packing, quality_rules, quality_votes, sharding, simhash, topk, url_lists
+from . import bpe, licences, packing, quality_rules, quality_votes, repeats, sharding, simhash, topk, url_lists
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_repeats": repeats.op2_repeats,
         "op3_topk": topk.op3_topk,
         "op4_quality_votes": quality_votes.op4_quality_votes,
         "op5_simhash": simhash.op5_simhash,
