@@ -12,11 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine's only where none is set, as in tests."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given:
+        given = tempfile.mkdtemp(prefix="chronolith-")
+        spark.sparkContext.setCheckpointDir(given)
+    return given
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared checkpoint folder, so that a lost executor costs a reread only."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronolith-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

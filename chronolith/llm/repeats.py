@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -414,35 +414,59 @@ def covered_spans(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> DataFr
     return rows.where(F.col("kind") == COVERED).select("doc_id", F.col("at").alias("start"), "last").unionByName(spans)
 
 
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+KEPT = pa.schema([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
-def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """Every row with doc_id, n_bytes, n_removed, n_spans and kept: the bytes that stay, or with digest their SHA-256 in hex."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
+def hex_digest(kept: bytes) -> bytes:
+    return hashlib.sha256(kept).hexdigest().encode()
+
+
+def whole_letters(kept: bytes) -> bytes:
+    """Without the parts of letters that a cut inside a letter leaves."""
+    return kept.decode("utf-8", "ignore").encode()
+
+
+def without_repeats(docs: DataFrame, shape: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """Every row of docs, as a struct row, with n_removed, n_spans and kept: shape of the bytes that stay."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    d = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     one = takes_part(docs)
     twice = cut(repeated_ids(docs))
     if not twice.isEmpty():
         one = one.join(twice, "doc_id", "left").where("h is null or xxhash64(text) = h").drop("h").dropDuplicates(["doc_id"])
-        d = d.join(twice, "doc_id", "left").select(F.when(F.col("h").isNull() | (F.xxhash64("text") == F.col("h")), F.col("doc_id")).alias("part"), "doc_id", "text")
+        d = d.join(twice, "doc_id", "left").select("row", "text", F.when(F.col("h").isNull() | (F.xxhash64("text") == F.col("h")), F.col("doc_id")).alias("part"))
     else:
-        d = d.withColumn("part", F.col("doc_id"))
+        d = d.withColumnRenamed("doc_id", "part")
     spans = covered_spans(one).groupBy(F.col("doc_id").alias("part")).agg(F.collect_list(F.struct("start", "last")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for doc, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 s = np.array([(x["start"], x["last"]) for x in spans or []], np.int64).reshape(-1, 2)
                 _, start, last = merged(np.zeros(len(s), np.int64), s[:, 0], s[:, 1])
                 kept = b"".join(text[a:z] for a, z in zip([0, *last.tolist()], [*start.tolist(), len(text)], strict=True))
-                rows.append((doc, len(text), len(text) - len(kept), len(start), hashlib.sha256(kept).hexdigest().encode() if digest else kept))
-            yield rows_out(KEPT, zip(*rows, strict=True))
+                rows.append((len(text) - len(kept), len(start), shape(kept)))
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), KEPT, strict=True))], names=["row", *KEPT.names])
+
+    found = d.join(spans, "part", "left").select("row", "text", "spans")
+    kind = d.schema["row"].dataType.simpleString()
+    return found.mapInArrow(run, f"row {kind}, n_removed long, n_spans long, kept binary").select(F.struct(*[F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)]).alias("row"), "n_removed", "n_spans", "kept")
+
 
-    found = d.join(spans, "part", "left").select("doc_id", "text", "spans")
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of docs with their columns and what stays of their texts; n_chars follows if it is there. A text that
+    loses all goes."""
+    found = without_repeats(docs, whole_letters)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("row.text"))
+    found = found.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn("kept", text)
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_repeats(spark, sf_dir: str) -> DataFrame:
-    found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest=True)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = without_repeats(docs.select("doc_id", "text"), hex_digest)
+    n = F.coalesce(F.octet_length(F.col("row.text")), F.lit(0)).cast("long")
+    return found.select("row.doc_id", n.alias("n_bytes"), "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))

@@ -179,6 +179,14 @@ def near_duplicates(docs: DataFrame, bits: int = 2, hot: int = HOT) -> DataFrame
     return each.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, bits: int = 2) -> DataFrame:
+    """The rows of docs whose doc_id is its component's least, one row for each; rows without a doc_id stay."""
+    found = near_duplicates(docs, bits)
+    kept = cut(found.where("doc_id = component_id").select("doc_id").distinct())
+    least = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    return least.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
