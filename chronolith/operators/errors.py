@@ -74,8 +74,13 @@ def correlations(df: DataFrame, features: list[str], target: str = "days_until_c
 
 
 def sampled(df: DataFrame, key: list[str], n: int = 500, seed: int = 42) -> DataFrame:
-    """A repeatable random sample of at most n rows."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """A repeatable random sample of at most n rows, by hash of the key."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary")), *key).limit(n)
+
+
+def pivot_mean(df: DataFrame, row: str, column: str, values: list, of: str) -> DataFrame:
+    """Mean of `of` per row value in a column per listed value (the list spares the pass that would find them)."""
+    return df.groupBy(row).pivot(column, values).agg(F.avg(of))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:

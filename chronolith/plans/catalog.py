@@ -355,7 +355,7 @@ def target_histogram(spark, d):
     return E.histogram(labelled(spark, d).where("days_until_completion is not null"), F.col("days_until_completion"), 0.0, 2000.0, 20)
 
 
-@query()
+@query(f"WITH {Q.errors()} SELECT ord, path FROM err ORDER BY md5(concat(CAST(ord AS VARCHAR), '|42')), ord LIMIT 500")
 def pdp_sample(spark, d):
     return E.sampled(errors(spark, d), ["ord"], 500).select("ord", "path")
 
@@ -430,6 +430,52 @@ def feature_writeback(spark, d):
     return packed.select("path", F.size("features").cast("long").alias("n"), F.element_at("features", -1)["commit_num"].alias("last_num"))
 
 
+def _histories(spark, d):
+    o = H.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("commit_history"))
+    return o.withColumn("previous_paths", F.expr("cast(array() as array<string>)")).withColumn("path", F.col("path").cast("string"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) FILTER (o_custkey % 2 = 1 OR o_orderkey % 2 = 0) AS n FROM orders GROUP BY o_custkey HAVING n > 0 OR o_custkey % 2 = 0 ORDER BY 1")
+def replace_history(spark, d):
+    """Histories of even paths are replaced by those of their even commits."""
+    h = _histories(spark, d)
+    new = h.where("cast(path as int) % 2 = 0").withColumn("commit_history", F.filter("commit_history", lambda c: c % 2 == 0))
+    return U.replace_entries(h, new).select("path", F.size("commit_history").cast("long").alias("n"))
+
+
+@query("SELECT CASE WHEN o_custkey % 5 = 0 THEN concat('new/', o_custkey) ELSE CAST(o_custkey AS VARCHAR) END AS path, CASE WHEN o_custkey % 5 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS previous, count(*) AS n FROM orders GROUP BY o_custkey")
+def rename_document(spark, d):
+    h = _histories(spark, d)
+    renames = h.where("cast(path as int) % 5 = 0").select("path", F.concat(F.lit("new/"), F.col("path")).alias("new_path"))
+    return U.rename(h, renames).select("path", F.array_join("previous_paths", ",").alias("previous"), F.size("commit_history").cast("long").alias("n"))
+
+
+@query(f"WITH {Q.by_file()} SELECT l.ord, l.path FROM lab l WHERE l.path IN (SELECT path FROM fsplit WHERE split = 'test') AND l.days_until_completion IS NOT NULL")
+def semi_join_paths(spark, d):
+    lab = labelled(spark, d)
+    test = P.split_by_file(lab).where("split = 'test'").select("path").distinct()
+    return lab.where("days_until_completion is not null").join(test, "path", "left_semi").select("ord", "path")
+
+
+@query(f"WITH {Q.labels()} SELECT DISTINCT path FROM lab WHERE days_until_completion IS NULL")
+def unlabelled_paths(spark, d):
+    return labelled(spark, d).where("days_until_completion is null").select("path").distinct()
+
+
+@query(f"""WITH {Q.labels()} SELECT ord, coalesce(days_until_completion, -1) AS days_until_completion, commits_last_30d, {Q.r("coalesce(nullif(std_commit_interval, 0), 0)", 5)} AS std_commit_interval,
+coalesce(lag(CAST(line_change AS DOUBLE)) OVER ({Q.W}), 0) AS previous_change FROM lab""")
+def filled_features(spark, d):
+    """Nulls of features become 0, those of the target stay (shown as -1)."""
+    df = labelled(spark, d).withColumn("previous_change", F.lag(F.col("line_change").cast("double")).over(X.rows()))
+    df = X.filled(df.withColumn("std_commit_interval", F.nullif("std_commit_interval", F.lit(0.0))))
+    return df.select("ord", F.coalesce("days_until_completion", F.lit(-1)).cast("long").alias("days_until_completion"), "commits_last_30d", rd("std_commit_interval", 5).alias("std_commit_interval"), "previous_change")
+
+
+@query("SELECT replace(concat(o_orderpriority, '/', o_orderstatus), '/', '_') AS name, count(*) AS n FROM orders GROUP BY 1")
+def table_names(spark, d):
+    return H.table(spark, d, "orders").groupBy(X.S.table_name(F.concat_ws("/", "o_orderpriority", "o_orderstatus")).alias("name")).agg(F.count("*").alias("n"))
+
+
 # Graphs
 
 
@@ -466,6 +512,21 @@ def cooccurrence_distance(spark, d):
     return G.distances(G.cooccurrence(_commit_files(spark, d))).withColumn("distance", rd("distance"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS path, p_partkey // 2 AS previous FROM part WHERE p_partkey % 3 <> 1 AND p_partkey > 1),
+heads AS (SELECT path FROM e WHERE path NOT IN (SELECT previous FROM e)),
+w AS (SELECT path AS head, path AS step FROM heads UNION ALL SELECT w.head, e.previous FROM w JOIN e ON e.path = w.step)
+SELECT head AS path, count(*) AS entries, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM w JOIN lineitem ON l_partkey = step GROUP BY head""")
+def full_history(spark, d):
+    """Commits of renamed files with those of all their former paths."""
+    entries = H.table(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), "l_linenumber")
+    return G.full_history(entries, _renames(spark, d)).groupBy("path").agg(F.count("*").alias("entries"), F.sum("l_linenumber").cast("long").alias("lines"))
+
+
+@query(f"WITH {Q.errors()} SELECT error_type, {Q.r('avg(abs_error) FILTER (top_dir = $$src$$)')} AS src, {Q.r('avg(abs_error) FILTER (top_dir = $$lib$$)')} AS lib FROM err GROUP BY error_type")
+def error_pivot(spark, d):
+    return E.pivot_mean(errors(spark, d), "error_type", "top_dir", ["src", "lib"], "abs_error").select("error_type", rd("src").alias("src"), rd("lib").alias("lib"))
+
+
 # Models
 
 
