@@ -15,28 +15,30 @@ import numpy as np
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The whole numbers of all ranges [start, start + size), one after another."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    ends = np.cumsum(sizes, dtype=starts.dtype)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=starts.dtype)
 
 
 def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sorted suffixes of every lane, as places in the flat array; the end of a lane sorts before every symbol."""
-    n, lengths = len(symbols), lengths[lengths > 0]
-    ends = np.cumsum(lengths)
+    n, lengths = len(symbols), lengths[lengths > 0].astype(np.int32)
+    if not n:
+        return np.zeros(0, np.int32)
+    ends = np.cumsum(lengths, dtype=np.int32)  # all places are 32-bit: half the memory to walk through
     base = ends - lengths
     lane = np.repeat(np.arange(len(lengths)), lengths)
-    low = np.repeat(base, lengths)
     # Groups are intervals of sa; a group's number is its first place, end holds where it stops.
-    sa = np.lexsort((symbols, lane))
-    first = np.r_[True, (symbols[sa][1:] != symbols[sa][:-1]) | (lane[sa][1:] != lane[sa][:-1])] if n else np.zeros(0, bool)
-    starts = np.flatnonzero(first)
-    group = np.empty(n, np.int64)
-    group[sa] = np.repeat(starts, np.diff(np.r_[starts, n]))
-    end = np.zeros(n + 1, np.int64)
-    end[starts] = np.r_[starts[1:], n]
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
-    prev = np.arange(n) - 1
+    keys = lane * (int(symbols.max()) + 1) + symbols
+    sa = np.argsort(keys, kind="stable").astype(np.int32)
+    keys = keys[sa]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).astype(np.int32)
+    group = np.empty(n, np.int32)
+    group[sa] = np.repeat(starts, np.diff(np.append(starts, n)))
+    end = np.zeros(n + 1, np.int32)
+    end[starts] = np.append(starts[1:], n)
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
+    prev = np.arange(-1, n - 1, dtype=np.int32)
     pointed = np.zeros(n, bool)
 
     at, floor = ends.copy(), base
@@ -47,11 +49,16 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         level, lowest = np.repeat(now, sizes), np.repeat(floor, sizes)
         j = members - 1
         todo = np.flatnonzero(j >= lowest)
-        todo = todo[group[j[todo]] >= level[todo]]
-        while len(todo):
-            j[todo] = prev[j[todo]]
-            todo = todo[j[todo] >= lowest[todo]]
-            todo = todo[group[j[todo]] >= level[todo]]
+        at_j, level, lowest = j[todo], level[todo], lowest[todo]
+        while True:
+            on = group[at_j] >= level
+            todo, at_j, level, lowest = todo[on], prev[at_j[on]], level[on], lowest[on]
+            if not len(todo):
+                break
+            j[todo] = at_j
+            on = at_j >= lowest
+            todo, at_j, level, lowest = todo[on], at_j[on], level[on], lowest[on]
+        lowest = np.repeat(floor, sizes)
         prev[members] = j
         hit = j[j >= lowest]
         if len(hit):
@@ -79,22 +86,22 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         more = now > floor
         at, floor = now[more], floor[more]
 
-    front = np.arange(n + 1)  # next free place of each group, by its number
+    front = np.arange(n + 1, dtype=np.int32)  # next free place of each group, by its number
     placed = np.zeros(n + 1, bool)
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     s, low, high, rank = ends.copy(), base.copy(), ends.copy(), base.copy()  # each lane starts from its end
     while len(s):
         j = s - 1
-        lanes = np.flatnonzero((j >= low) & ~placed[j])
-        j = j[lanes]
+        on = (j >= low) & ~placed[j]
+        j, least = j[on], low[on]
         while len(j):
             g = group[j]
             to = front[g]
             out[to], placed[j] = j, True
             front[g] = to + 1
             j = prev[j]
-            keep = (j >= low[lanes]) & ~placed[j]
-            j, lanes = j[keep], lanes[keep]
+            on = (j >= least) & ~placed[j]
+            j, least = j[on], least[on]
         more = rank < high
         rank, low, high = rank[more], low[more], high[more]
         s, rank = out[rank], rank + 1

@@ -3,10 +3,10 @@
 A byte goes if a WINDOW-byte string that covers it also starts earlier (smaller doc_id, or same document and earlier
 start). Suffix arrays are built where strings can repeat at all:
 
-1. Anchors. Of every window, the GRAM-byte substring with the least hash is an anchor; it depends on the window's bytes
-   alone, so equal windows have equal anchors at equal offsets. About one byte in 33 starts an anchor.
-2. Classes. Anchors meet by the hash of their gram. Occurrences whose whole context (all windows around the anchor)
-   is the same form a class; all but its first occurrence are covered. This is done within each batch of texts before
+1. Anchors. Of every window, the GRAM-byte substring with the least hash is its anchor; it depends on the window's
+   bytes alone, so equal windows have equal anchors at equal offsets. About one byte in 33 starts an anchor. An
+   anchor's context is the stretch of the windows that have this anchor.
+2. Classes. Anchors meet by the hash of their gram. Occurrences whose whole context is the same form a class; all but its first occurrence are covered. This is done within each batch of texts before
    the shuffle, so many copies leave few rows, and again after it.
 3. Suffix order. Where one gram has several contexts, the first occurrence of each is fetched, and linear grouping
    (lyndon.suffix_arrays) sorts the suffixes of these contexts. Runs of neighbours that share WINDOW bytes are equal
@@ -42,7 +42,7 @@ PIECE = 1 << 20  # bytes of a text hashed at once
 BATCH = 16 << 20  # bytes of text whose equal contexts are combined before the shuffle
 LOCAL, HOT, MOST = 8, 4096, 100_000  # contexts of a gram within a batch that make it a candidate, and in all that make it hot; hot grams at most
 LANE = 48  # contexts that are sorted together
-FLAT = 2 << 20  # symbols sorted in step
+FLAT = 1 << 19  # symbols sorted in step: their arrays stay near the processor
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,10 +78,10 @@ class Hashed:
         return mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: self.n - GRAM + 1])
 
 
-def anchors(h: Hashed) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the grams that are the least (the first of equals) of any window."""
+def anchors(h: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every gram that is the least (the first of equals) of any window: start, hash, start and end of its context."""
     if h.n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = h.grams()
     low = np.uint64((1 << 21) - 1)
     least = (g & ~low) | np.arange(len(g), dtype=np.uint64)
@@ -92,8 +92,10 @@ def anchors(h: Hashed) -> tuple[np.ndarray, np.ndarray]:
     if width < REACH + 1:
         least = np.minimum(least[: len(least) - (REACH + 1 - width)], least[REACH + 1 - width :])
     at = (least & low).astype(np.int64)
-    at = at[np.r_[True, at[1:] != at[:-1]]]
-    return at, g[at]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # windows of one anchor follow one another
+    last = np.r_[first[1:], len(at)] - 1 + WINDOW
+    at = at[first]
+    return at, g[at], first, last
 
 
 def pieces(b: np.ndarray) -> Iterator[tuple[int, Hashed]]:
@@ -106,33 +108,32 @@ def pieces(b: np.ndarray) -> Iterator[tuple[int, Hashed]]:
         yield start, Hashed(b[max(0, start - WINDOW) : start + step + 2 * WINDOW])
 
 
-def contexts(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, Hashed]]]:
-    """Of every anchor of a text: gram hash, context hash, start, end of its context; and the hashed pieces."""
-    out, kept = [], []
+def contexts(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every anchor of a text: gram hash, context hash, start and end of its context, place of the anchor in it."""
+    out = []
     for start, h in pieces(b):
         base = max(0, start - WINDOW) if start else 0
-        at, gram = anchors(h)
-        first, last = np.maximum(at - REACH, 0), np.minimum(at + WINDOW, h.n)
+        at, gram, first, last = anchors(h)
         sure = np.ones(len(at), bool)
-        if base:  # contexts cut off by the piece's own ends belong to its neighbours
+        if base:  # what the piece's own ends may cut off belongs to its neighbours
             sure &= at >= REACH
         if base + h.n < len(b):
             sure &= at + WINDOW <= h.n
         at, gram, first, last = at[sure], gram[sure], first[sure], last[sure]
-        ctx = mixed(h.of(first, last) + (at - first).astype(np.uint64) * np.uint64(1_000_003) + (last - at).astype(np.uint64))
-        out.append((gram, ctx, at + base, last + base))
-        kept.append((base, h))
-    return (*[np.concatenate(x) for x in zip(*out, strict=True)], kept)
+        left = at - first
+        ctx = mixed(h.of(first, last) + left.astype(np.uint64) * np.uint64(1_000_003) + (last - at).astype(np.uint64))
+        out.append((gram, ctx, first + base, last + base, left))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def batch_contexts(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Gram, context, doc_id, place, end and row of all anchors of a batch, and the texts."""
+    """Gram, context, doc_id, start and end of the context, place of the anchor in it and row of all anchors of a batch, and the texts."""
     texts = [np.frombuffer(t or b"", np.uint8) for t in b.column("text").to_pylist()]
     ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-    parts = [contexts(t)[:4] for t in texts]
+    parts = [contexts(t) for t in texts]
     row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    gram, ctx, at, last = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in zip(*parts, strict=True))
-    return gram, ctx, ids[row], at, last, row, texts
+    gram, ctx, first, last, left = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return gram, ctx, ids[row], first, last, left, row, texts
 
 
 def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +164,9 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("last", pa.int32())])
 ROWS_SQL = "key long, kind int, ctx long, doc_id long, at int, last int"
-#: Kinds of rows: an anchor, a window of a hot gram, a span known to be covered, a wanted context.
-ANCHOR, HOT_WINDOW, COVERED, WANTED = 0, 1, 2, 3
+#: Kinds of rows: an anchor, a window of a hot gram, a span known to be covered, a wanted context. Of anchors and
+#: wanted contexts, kind also holds the anchor's place in the context, times KINDS.
+ANCHOR, HOT_WINDOW, COVERED, WANTED, KINDS = 0, 1, 2, 3, 4
 
 
 def hot_grams(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> np.ndarray:
@@ -200,20 +202,20 @@ def anchor_rows(docs: DataFrame, many) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = many.value
         for b in slices(batches, BATCH):
-            gram, ctx, doc, at, last, row, texts = batch_contexts(b)
+            gram, ctx, doc, at, last, left, row, texts = batch_contexts(b)
             order, new, run_of = firsts(gram, ctx, doc, at)
             lead = order[np.flatnonzero(new)][run_of]  # of each ordered row, its run's first
             later = ~new & ((doc[order] != doc[lead]) | (at[order] != at[lead]))
             late = order[later]
-            d, s, e = merged(doc[late], np.maximum(at[late] - REACH, 0), last[late])
+            d, s, e = merged(doc[late], at[late], last[late])
             out = [(mixed(d.view(np.uint64) + np.uint64(1)).view(np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e)]
             lead = order[new]
             busy = np.isin(gram[lead], hot) if len(hot) else np.zeros(len(lead), bool)
             k = lead[~busy]
-            out.append((gram[k].view(np.int64), np.full(len(k), ANCHOR), ctx[k].view(np.int64), doc[k], at[k], last[k]))
+            out.append((gram[k].view(np.int64), ANCHOR + left[k] * KINDS, ctx[k].view(np.int64), doc[k], at[k], last[k]))
             for r in np.unique(row[lead[busy]]).tolist():
                 k = lead[busy][row[lead[busy]] == r]
-                starts = np.unique(ragged(np.maximum(at[k] - REACH, 0), np.maximum(np.minimum(at[k], last[k] - WINDOW) - np.maximum(at[k] - REACH, 0) + 1, 0)))
+                starts = np.unique(ragged(at[k], last[k] - at[k] - WINDOW + 1))
                 for base, h in pieces(texts[r]):
                     base = max(0, base - WINDOW) if base else 0
                     s = starts[(starts >= base) & (starts + WINDOW <= base + h.n)]
@@ -252,15 +254,14 @@ def resolved(rows: DataFrame) -> DataFrame:
             order, new, run_of = firsts(key, kind, ctx, doc, at)
             lead = order[np.flatnonzero(new)][run_of]
             late = order[~new & ((doc[order] != doc[lead]) | (at[order] != at[lead]))]
-            start = np.where(kind[late] == ANCHOR, np.maximum(at[late] - REACH, 0), at[late])
-            d, s, e = merged(doc[late], start, last[late])
+            d, s, e = merged(doc[late], at[late], last[late])
             out.append((np.zeros(len(d), np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e))
             lead = order[new]
-            lead = lead[kind[lead] == ANCHOR]
+            lead = lead[kind[lead] % KINDS == ANCHOR]
             k = key[lead]
             _, group, n = np.unique(k, return_inverse=True, return_counts=True)
             many = lead[n[group] > 1]
-            out.append((key[many], np.full(len(many), WANTED), ctx[many], doc[many], at[many], last[many]))
+            out.append((key[many], kind[many] - ANCHOR + WANTED, ctx[many], doc[many], at[many], last[many]))
             yield rows_out(ROWS, [np.concatenate(c) for c in zip(*out, strict=True)])
 
     n = shuffle_partitions(rows.sparkSession)
@@ -272,12 +273,12 @@ CONTEXTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.
 
 def wanted_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, doc_id, start, left, bytes) of every wanted context; left: how far its anchor is from its start."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "last")).alias("asked"))  # at most one in 33 bytes of a text
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "last", "left")).alias("asked"))  # at most one in 33 bytes of a text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             for doc, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True):
-                rows = [(a["key"], doc, s, a["at"] - s, text[s : a["last"]]) for a in asked for s in (max(0, a["at"] - REACH),)]
+                rows = [(a["key"], doc, a["at"], a["left"], text[a["at"] : a["last"]]) for a in asked]
                 yield rows_out(CONTEXTS, zip(*rows, strict=True))
 
     return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, "key long, doc_id long, start int, left int, bytes binary")
@@ -409,7 +410,7 @@ def covered_spans(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> DataFr
     many = docs.sparkSession.sparkContext.broadcast(hot_grams(docs, local, hot))
     rows = cut(resolved(anchor_rows(docs, many)))
     free(docs)
-    spans = cut(sorted_spans(wanted_contexts(docs, rows.where(F.col("kind") == WANTED).select("doc_id", "key", "at", "last"))))
+    spans = cut(sorted_spans(wanted_contexts(docs, rows.where(F.col("kind") % KINDS == WANTED).select("doc_id", "key", "at", "last", F.floor(F.col("kind") / KINDS).cast("int").alias("left")))))
     free(docs)
     return rows.where(F.col("kind") == COVERED).select("doc_id", F.col("at").alias("start"), "last").unionByName(spans)
 
