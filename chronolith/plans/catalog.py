@@ -260,7 +260,7 @@ _CORR = ("commit_num", "commits_last_30d", "commits_last_90d", "commit_interval_
 
 
 @query(f"""WITH {Q.labels()}, one AS (SELECT {', '.join(f'corr({c}, days_until_completion) AS {c}' for c in _CORR)} FROM lab),
-long AS (UNPIVOT one ON {', '.join(_CORR)} INTO NAME feature VALUE correlation) SELECT feature, round(correlation, 6) AS correlation FROM long ORDER BY abs(correlation) DESC, feature LIMIT 20""")
+long AS (UNPIVOT one ON {', '.join(_CORR)} INTO NAME feature VALUE correlation) SELECT feature, round(correlation, 6) + 0.0 AS correlation FROM long ORDER BY abs(correlation) DESC, feature LIMIT 20""")
 def feature_correlation(spark, d):
     return E.correlations(labelled(spark, d), list(_CORR)).withColumn("correlation", rd("correlation"))
 
@@ -288,7 +288,7 @@ _SCALED = ("commit_num", "age_in_days", "line_change", "is_first_commit")
 
 
 @query(f"""WITH {Q.by_history()}, q AS (SELECT {', '.join(f"quantile_cont({c}, 0.5) AS m_{c}, CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) THEN 1 ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS q_{c}" for c in _SCALED)} FROM split WHERE split = 'train')
-SELECT ord, split, {', '.join(f"round((CAST({c} AS DOUBLE) - m_{c}) / q_{c}, 6) AS {c}" for c in _SCALED)} FROM split, q""")
+SELECT ord, split, {', '.join(f"round((CAST({c} AS DOUBLE) - m_{c}) / q_{c}, 6) + 0.0 AS {c}" for c in _SCALED)} FROM split, q""")
 def robust_scale(spark, d):
     s = history_split(spark, d)
     return P.scale(s, P.fit_scaler(s.where("split = 'train'"), list(_SCALED)), list(_SCALED)).select("ord", "split", *[rd(c).alias(c) for c in _SCALED])

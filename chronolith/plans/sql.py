@@ -24,7 +24,7 @@ def days(a: str, b: str) -> str:
 
 
 def r(x: str, n: int = 6) -> str:
-    return f"round(CAST({x} AS DOUBLE), {n})"
+    return f"(round(CAST({x} AS DOUBLE), {n}) + 0.0)"  # no negative zero
 
 
 W = "PARTITION BY path ORDER BY date, ord"
