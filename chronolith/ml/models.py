@@ -111,12 +111,12 @@ def predict_unlabelled(model: PipelineModel, df: DataFrame, columns: list[str],
     return found.withColumn("completion_date_predicted", F.timestamp_micros((F.unix_micros("date") + F.col("predicted_days_until_completion") * 86_400_000_000).cast("long"))).select("path", "date", "predicted_days_until_completion", "completion_date_predicted")
 
 
-def linear_contributions(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFrame:
+def linear_contributions(model: PipelineModel, df: DataFrame, columns: list[str], keep: tuple[str, ...] = ("ord", "path")) -> DataFrame:
     """Exact Shapley values of a linear model: coefficient times distance from the mean."""
     coef = model.stages[-1].coefficients.toArray().tolist()
     rows = prepared(df, columns)
     means = rows.agg(*[F.avg(c).alias(f"{c}__mean") for c in columns])
-    return rows.crossJoin(F.broadcast(means)).select("ord", "path", *[(F.lit(w) * (F.col(c) - F.col(f"{c}__mean"))).alias(c) for c, w in zip(columns, coef, strict=True)])  # one row
+    return rows.crossJoin(F.broadcast(means)).select(*keep, *[(F.lit(w) * (F.col(c) - F.col(f"{c}__mean"))).alias(c) for c, w in zip(columns, coef, strict=True)])  # one row
 
 
 def mean_contributions(contributions: DataFrame, columns: list[str], n: int = 20) -> DataFrame:
@@ -124,6 +124,12 @@ def mean_contributions(contributions: DataFrame, columns: list[str], n: int = 20
     return one.unpivot([], columns, "feature", "mean_abs").orderBy(F.desc("mean_abs"), "feature").limit(n)
 
 
+def contributions_by(contributions: DataFrame, group: str, columns: list[str], n: int = 5) -> DataFrame:
+    """Mean absolute contributions for each of the n commonest values of group."""
+    top = contributions.groupBy(group).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), group).limit(n)
+    return contributions.join(F.broadcast(top), group).groupBy(group).agg(F.max("rows").alias("rows"), *[F.avg(F.abs(c)).alias(c) for c in columns])  # n rows
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], seed: int = 42) -> list[tuple[str, float]]:
     """Rise of the mean absolute error when one column is taken from another row, for models without exact contributions."""
     base = evaluate(model, df, columns).first().mae

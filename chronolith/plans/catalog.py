@@ -562,6 +562,19 @@ def shap_linear(spark, d):
     return M.mean_contributions(M.linear_contributions(model, df, columns), columns)
 
 
+@query()
+def shap_by_committer(spark, d):
+    df, columns, _, model = _fitted(spark, d)
+    rows = X.add_committer(df, X.significant_committers(facts(spark, d)))
+    return M.contributions_by(M.linear_contributions(model, rows, columns, ("committer_grouped",)), "committer_grouped", columns)
+
+
+@query()
+def permutation_importance(spark, d):
+    df, columns, _, model = _fitted(spark, d)
+    return rows_of(spark, M.permutation_importance(model, df.where("split = 'test'"), columns[:6]), "feature string, rise double")
+
+
 @query()
 def pdp(spark, d):
     df, columns, _, model = _fitted(spark, d, "random_forest")
