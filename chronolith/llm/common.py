@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, unless they find it where the driver does."""
+    sc, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if getattr(sc, "_chronolith_shipped", False) or root in paths or (sc.master.startswith("local[") and os.getcwd() == root):
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="chronolith-"), "chronolith-package.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "chronolith")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(path := os.path.join(folder, name), os.path.relpath(path, root))
+    sc.addPyFile(at)  # served by the driver
+    sc._chronolith_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of this machine's only where none is set, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -42,6 +60,7 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and the text's UTF-8 bytes; whatever else the table has is dropped, so other columns can't clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import token_pieces
-from .common import cut, rows_out, shuffle_partitions
+from .common import cut, rows_out, ship, shuffle_partitions
 
 
 def pack(lengths: np.ndarray, tokens: int, docs: int, attention: float, rule: str = "norm", weights: tuple = (1.0, 1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +68,7 @@ def best_fit(pieces: DataFrame, tokens: int = 4096, docs: int | None = None, att
     """
     docs, attention = docs or tokens, attention or float(tokens) ** 2
     spark = pieces.sparkSession
+    ship(spark)
     pieces = cut(pieces)
     sums = pieces.agg(F.sum("length"), F.count("*"), F.sum(F.col("length") * F.col("length"))).first()
     full = max((sums[0] or 0) / tokens, (sums[1] or 0) / docs, (sums[2] or 0) / attention)

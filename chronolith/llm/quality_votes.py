@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, rows_out, slices
+from .common import cut, id_text, rows_out, ship, slices
 
 REFERENCES, BINS, LAGS, STRESS, RANK, NEIGHBOURS, SHARP, BLOCK = 1024, 4096, 3, 2.0, 64, 32, 4.0, 512
 THRESHOLD = 0.7
@@ -99,6 +99,7 @@ def references(docs: DataFrame, labels: DataFrame, per_class: int = REFERENCES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = REFERENCES) -> Votes | None:
+    ship(docs.sparkSession)
     sample, prior = references(docs, labels, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

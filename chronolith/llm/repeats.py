@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_out, shuffle_partitions, slices
+from .common import cut, rows_out, ship, shuffle_partitions, slices
 from .lyndon import ragged, suffix_arrays
 
 WINDOW, GRAM = 100, 36
@@ -395,6 +395,7 @@ def free(df: DataFrame) -> None:
 
 def takes_part(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of the rows that may match: ids that aren't null, one text for each."""
+    ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     return d.where("doc_id is not null")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, rows_out, shuffle_partitions, slices
+from .common import cut, id_text, rows_out, ship, shuffle_partitions, slices
 from .components import connected_components
 
 #: Fingerprints under one key of two blocks beyond which the key is taken apart.
@@ -157,6 +157,7 @@ def links(distinct: DataFrame, bits: int = 2, hot: int = HOT) -> DataFrame:
     """distinct(fp) -> (a, b): links that join what is within `bits` (at most 2) differing bits."""
     if bits > 2:
         raise ValueError("two shared blocks of four are sure for at most two differing bits")
+    ship(distinct.sparkSession)
     pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
     keyed = distinct.select("fp", F.explode(F.array(*[block_key(i, j) for i, j in pairs])).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, rows_out
+from .common import cut, rows_out, ship
 
 SHARD, BLOCK, SEED, LEAF = 8192, 1024, 2048, 64
 
@@ -130,7 +130,7 @@ def best(hits: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): queries(vec_id, q) against all of vectors(vec_id, q) but the query itself."""
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     n = vectors.count()
     parts = max(1, -(-n // SHARD))
     shards = cut(packs(vectors.repartition(parts, F.xxhash64("vec_id", "q")), SHARD))
