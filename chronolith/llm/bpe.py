@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import id_text, rows_out, slices
 
 #: Distinct words kept by one Python worker before its cache starts anew.
-CACHE = 400_000
+CACHE = 250_000
 BEYOND = re.compile("[^\x00-\u017f]").search
 
 

@@ -154,10 +154,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = REFERENCES) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model.value)
-        for b in slices(batches, column="__text"):
-            yield b.filter(pa.array(score(b.column("__text").to_pylist()) >= THRESHOLD)).select(list(range(b.num_columns - 1)))
+        for b in slices(batches):
+            yield b.filter(pa.array(score(b.column("text").cast(pa.binary()).to_pylist()) >= THRESHOLD))
 
-    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality_votes(spark, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def keep_one(docs: DataFrame, bits: int = 2) -> DataFrame:
     """The rows of docs whose doc_id is its component's least, one row for each; rows without a doc_id stay."""
     found = near_duplicates(docs, bits)
     kept = cut(found.where("doc_id = component_id").select("doc_id").distinct())
-    least = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    least = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
     return least.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
