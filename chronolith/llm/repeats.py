@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_out, ship, shuffle_partitions, slices
+from .common import cut, rows_out, ship, shuffle_partitions, slices, tidy
 from .lyndon import ragged, suffix_arrays
 
 WINDOW, GRAM = 100, 36
 REACH = WINDOW - GRAM  # a window starts at most so far before its anchor
 PIECE = 1 << 20  # bytes of a text hashed at once
 BATCH = 16 << 20  # bytes of text whose equal contexts are combined before the shuffle
-LOCAL, HOT, MOST = 8, 4096, 100_000  # contexts of a gram within a batch that make it a candidate, and in all that make it hot; hot grams at most
+LOCAL, HOT, MOST = 8, 1024, 100_000  # contexts of a gram within a batch that make it a candidate, and in all that make it hot; hot grams at most
 LANE = 48  # contexts that are sorted together
 FLAT = 1 << 19  # symbols sorted in step: their arrays stay near the processor
 
@@ -196,6 +196,28 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
 
 
+def split_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are the first of equal keys (but for the last two, document and place), and rows that come after one."""
+    order, new, run_of = firsts(*keys)
+    lead = order[new][run_of]
+    doc, at = keys[-2:]
+    return order[new], order[~new & ((doc[order] != doc[lead]) | (at[order] != at[lead]))]
+
+
+def hot_windows(texts: list[np.ndarray], rows: np.ndarray, row: np.ndarray, doc: np.ndarray, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two hashes, document and start of every window of the given contexts."""
+    out = []
+    for r in np.unique(row[rows]).tolist():
+        k = rows[row[rows] == r]
+        starts = np.unique(ragged(at[k], last[k] - at[k] - WINDOW + 1))
+        for base, h in pieces(texts[r]):
+            base = max(0, base - WINDOW) if base else 0
+            s = starts[(starts >= base) & (starts + WINDOW <= base + h.n)]
+            w = h.of(s - base, s - base + WINDOW)
+            out.append((w, mixed(w ^ h.of(s - base, s - base + WINDOW // 2)), np.full(len(s), doc[k[0]]), s))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def anchor_rows(docs: DataFrame, many) -> DataFrame:
     """Rows of the first pass: per batch, each context once; what it repeats is covered already. many: hot grams, broadcast."""
 
@@ -203,24 +225,18 @@ def anchor_rows(docs: DataFrame, many) -> DataFrame:
         hot = many.value
         for b in slices(batches, BATCH):
             gram, ctx, doc, at, last, left, row, texts = batch_contexts(b)
-            order, new, run_of = firsts(gram, ctx, doc, at)
-            lead = order[np.flatnonzero(new)][run_of]  # of each ordered row, its run's first
-            later = ~new & ((doc[order] != doc[lead]) | (at[order] != at[lead]))
-            late = order[later]
-            d, s, e = merged(doc[late], at[late], last[late])
-            out = [(mixed(d.view(np.uint64) + np.uint64(1)).view(np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e)]
-            lead = order[new]
+            lead, late = split_runs(gram, ctx, doc, at)
             busy = np.isin(gram[lead], hot) if len(hot) else np.zeros(len(lead), bool)
             k = lead[~busy]
-            out.append((gram[k].view(np.int64), ANCHOR + left[k] * KINDS, ctx[k].view(np.int64), doc[k], at[k], last[k]))
-            for r in np.unique(row[lead[busy]]).tolist():
-                k = lead[busy][row[lead[busy]] == r]
-                starts = np.unique(ragged(at[k], last[k] - at[k] - WINDOW + 1))
-                for base, h in pieces(texts[r]):
-                    base = max(0, base - WINDOW) if base else 0
-                    s = starts[(starts >= base) & (starts + WINDOW <= base + h.n)]
-                    w = h.of(s - base, s - base + WINDOW)
-                    out.append((w.view(np.int64), np.full(len(s), HOT_WINDOW), mixed(w ^ h.of(s - base, s - base + WINDOW // 2)).view(np.int64), np.full(len(s), doc[k[0]]), s, s + WINDOW))
+            out = [(gram[k].view(np.int64), ANCHOR + left[k] * KINDS, ctx[k].view(np.int64), doc[k], at[k], last[k])]
+            spans = [(doc[late], at[late], last[late])]
+            if busy.any():
+                w, c, d, s = hot_windows(texts, lead[busy], row, doc, at, last)
+                lead, late = split_runs(w, c, d, s)
+                out.append((w[lead].view(np.int64), np.full(len(lead), HOT_WINDOW), c[lead].view(np.int64), d[lead], s[lead], s[lead] + WINDOW))
+                spans.append((d[late], s[late], s[late] + WINDOW))
+            d, s, e = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+            out.append((mixed(d.view(np.uint64) + np.uint64(1)).view(np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e))
             yield rows_out(ROWS, [np.concatenate(c) for c in zip(*out, strict=True)])
 
     return docs.mapInArrow(run, ROWS_SQL)
@@ -241,6 +257,8 @@ def keyed_stream(batches: Iterator[pa.RecordBatch], columns: list[str], least: i
             held, n = [[c[at:] for c in block]], len(block[0]) - at
     if n:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
+    held = []
+    tidy()
 
 
 def resolved(rows: DataFrame) -> DataFrame:
@@ -251,12 +269,9 @@ def resolved(rows: DataFrame) -> DataFrame:
             known = kind == COVERED
             out = [(np.zeros(int(known.sum()), np.int64), np.full(int(known.sum()), COVERED), ctx[known], doc[known], at[known], last[known])]
             key, kind, ctx, doc, at, last = (c[~known] for c in (key, kind, ctx, doc, at, last))
-            order, new, run_of = firsts(key, kind, ctx, doc, at)
-            lead = order[np.flatnonzero(new)][run_of]
-            late = order[~new & ((doc[order] != doc[lead]) | (at[order] != at[lead]))]
+            lead, late = split_runs(key, kind, ctx, doc, at)
             d, s, e = merged(doc[late], at[late], last[late])
             out.append((np.zeros(len(d), np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e))
-            lead = order[new]
             lead = lead[kind[lead] % KINDS == ANCHOR]
             k = key[lead]
             _, group, n = np.unique(k, return_inverse=True, return_counts=True)
@@ -416,7 +431,7 @@ def covered_spans(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> DataFr
     return rows.where(F.col("kind") == COVERED).select("doc_id", F.col("at").alias("start"), "last").unionByName(spans)
 
 
-KEPT = pa.schema([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+KEPT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
 def hex_digest(kept: bytes) -> bytes:
@@ -429,15 +444,18 @@ def whole_letters(kept: bytes) -> bytes:
 
 
 def without_repeats(docs: DataFrame, shape: Callable[[bytes], bytes] = bytes) -> DataFrame:
-    """Every row of docs, as a struct row, with n_removed, n_spans and kept: shape of the bytes that stay."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    d = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
+    """Every row of docs: its columns but the text in a struct row, n_bytes, n_removed, n_spans, kept (shape of the bytes
+    that stay; null texts are empty ones) and whether the text was null."""
+    rest = [c for c in docs.columns if c.lower() != "text"]
+    names = [f"c{i}" for i in range(len(rest))]
+    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)])
+    d = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     one = takes_part(docs)
     twice = cut(repeated_ids(docs))
     if not twice.isEmpty():
         one = one.join(twice, "doc_id", "left").where("h is null or xxhash64(text) = h").drop("h").dropDuplicates(["doc_id"])
-        d = d.join(twice, "doc_id", "left").select("row", "text", F.when(F.col("h").isNull() | (F.xxhash64("text") == F.col("h")), F.col("doc_id")).alias("part"))
+        same = F.xxhash64(F.coalesce("text", F.lit("").cast("binary"))) == F.col("h")
+        d = d.join(twice, "doc_id", "left").select("row", "text", F.when(F.col("h").isNull() | same, F.col("doc_id")).alias("part"))
     else:
         d = d.withColumnRenamed("doc_id", "part")
     spans = covered_spans(one).groupBy(F.col("doc_id").alias("part")).agg(F.collect_list(F.struct("start", "last")).alias("spans"))
@@ -446,29 +464,31 @@ def without_repeats(docs: DataFrame, shape: Callable[[bytes], bytes] = bytes) ->
         for b in slices(batches):
             rows = []
             for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                text = text or b""
                 s = np.array([(x["start"], x["last"]) for x in spans or []], np.int64).reshape(-1, 2)
                 _, start, last = merged(np.zeros(len(s), np.int64), s[:, 0], s[:, 1])
                 kept = b"".join(text[a:z] for a, z in zip([0, *last.tolist()], [*start.tolist(), len(text)], strict=True))
-                rows.append((len(text) - len(kept), len(start), shape(kept)))
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), KEPT, strict=True))], names=["row", *KEPT.names])
+                rows.append((len(text), len(text) - len(kept), len(start), shape(kept)))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("none"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), KEPT, strict=True))], names=["row", "none", *KEPT.names])
 
-    found = d.join(spans, "part", "left").select("row", "text", "spans")
+    found = d.join(spans, "part", "left").select("row", F.col("text").isNull().alias("none"), "text", "spans")
     kind = d.schema["row"].dataType.simpleString()
-    return found.mapInArrow(run, f"row {kind}, n_removed long, n_spans long, kept binary").select(F.struct(*[F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)]).alias("row"), "n_removed", "n_spans", "kept")
+    out = found.mapInArrow(run, f"row {kind}, none boolean, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.withColumn("row", F.struct(*[F.col(f"row.{n}").alias(c) for c, n in zip(rest, names, strict=True)]))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with their columns and what stays of their texts; n_chars follows if it is there. A text that
     loses all goes."""
-    found = without_repeats(docs, whole_letters)
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("row.text"))
-    found = found.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn("kept", text)
-    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    found = without_repeats(docs, whole_letters).where("n_removed = 0 or octet_length(kept) > 0")
+    text = F.when(~F.col("none"), F.col("kept").cast("string"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_repeats(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = without_repeats(docs.select("doc_id", "text"), hex_digest)
-    n = F.coalesce(F.octet_length(F.col("row.text")), F.lit(0)).cast("long")
-    return found.select("row.doc_id", n.alias("n_bytes"), "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
