@@ -42,19 +42,25 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles; a bit is set if over half of the shingles' hashes set it."""
+def shingles(text: bytes | None, words: int = 3, seed: int = 42) -> list[int]:
+    """The hash of each word shingle of a text; fewer words are one shingle, no words are none."""
     found = (text or b"").lower().split()  # bytes: A-Z only, and exactly \x20\x09-\x0d part words
     if not found:
-        return 0
+        return []
     h, joined = xxhash.xxh64_intdigest, b" ".join(found)
     if len(found) < words:
-        hashes = [h(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        hashes = [h(joined[a:b], seed) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [h(joined, seed)]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    return [h(joined[a:b], seed) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's word shingles; a bit is set if over half of the shingles' hashes set it."""
+    hashes = shingles(text, words, seed)
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     flat = np.array(hashes, "<u8")
     for at in range(0, len(flat), 255):  # sums of at most 255 bits fit a byte
