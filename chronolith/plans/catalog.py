@@ -572,7 +572,7 @@ def shap_by_committer(spark, d):
 @query()
 def permutation_importance(spark, d):
     df, columns, _, model = _fitted(spark, d)
-    return rows_of(spark, M.permutation_importance(model, df.where("split = 'test'"), columns[:6]), "feature string, rise double")
+    return rows_of(spark, M.permutation_importance(model, df.where("split = 'test'"), columns), "feature string, rise double")
 
 
 @query()
