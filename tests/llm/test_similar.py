@@ -50,3 +50,11 @@ def test_stage_as_brute_force(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == sorted(least.values())
     assert len(got) < simhash.keep_one(docs).count()
+
+
+def test_repeated_and_null_ids(spark):
+    rnd = random.Random(9)
+    a, b, c = (prose(rnd, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, b), (None, c), (None, c)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, a), (1, b), (None, c)]))
