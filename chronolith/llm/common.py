@@ -34,20 +34,62 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine's only where none is set, as in tests."""
+    """The folder that driver and executors share; in local mode, where none is set, one of this machine's."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         given = tempfile.mkdtemp(prefix="chronolith-")
         spark.sparkContext.setCheckpointDir(given)
     return given
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared checkpoint folder, so that a lost executor costs a reread only."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few longs that may be broadcast (some megabytes), keys that a join may salt, and their copies.
+BROADCAST_ROWS, HEAVY_KEYS, HEAVY_LEAST, COPIES = 200_000, 4096, 256, 64
+
+
+def small_join(df: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """df joined with a narrow checkpointed table: broadcast if its rows, counted first, are few enough, else by a shuffle."""
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """many joined with one (a row per key): rows of the commonest keys of many are dealt over COPIES copies of one's row.
+
+    The HEAVY_KEYS commonest keys, a bounded table, are known to both sides; no other key can have over a HEAVY_KEYS-th
+    of the rows.
+    """
+    key = [key] if isinstance(key, str) else key
+    counts = many.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= HEAVY_LEAST)
+    heavy = cut(counts.orderBy(F.desc("_n"), *key).limit(HEAVY_KEYS).select(*key, F.lit(True).alias("_heavy")))
+    if heavy.isEmpty():
+        return many.join(one, key, how)
+    rest = [c for c in many.columns if c not in key]
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*rest), F.lit(COPIES)).cast("int")).otherwise(F.lit(0))
+    left = many.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt).drop("_heavy")
+    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    right = one.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
+    return left.join(right, [*key, "_salt"], how).drop("_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,6 +103,19 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds number: gapless from 0 in the given order, over range partitions, so no task sees all rows."""
+    spark, n = df.sparkSession, shuffle_partitions(df.sparkSession)
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = cut(placed.select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_at")))
+    first, rows = 0, []
+    for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row per partition
+        rows.append({"_part": r["_part"], "_first": first})
+        first += r["n"]
+    firsts = literal_table(spark, rows, "_part: int, _first: bigint")
+    return placed.join(F.broadcast(firsts), "_part").withColumn("number", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and the text's UTF-8 bytes; whatever else the table has is dropped, so other columns can't clash."""
     ship(docs.sparkSession)

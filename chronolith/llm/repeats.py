@@ -6,24 +6,29 @@ start). Suffix arrays are built where strings can repeat at all:
 1. Anchors. Of every window, the GRAM-byte substring with the least hash is its anchor; it depends on the window's
    bytes alone, so equal windows have equal anchors at equal offsets. About one byte in 33 starts an anchor. An
    anchor's context is the stretch of the windows that have this anchor.
-2. Classes. Anchors meet by the hash of their gram. Occurrences whose whole context is the same form a class; all but its first occurrence are covered. This is done within each batch of texts before
-   the shuffle, so many copies leave few rows, and again after it.
+2. Classes. Anchors meet by the hash of their gram. Occurrences whose whole context is the same form a class; all but
+   its first occurrence are covered. This is done within each batch of texts before the shuffle, so many copies leave
+   few rows, and again after it, over rows that come sorted, of which none need be held.
 3. Suffix order. Where one gram has several contexts, the first occurrence of each is fetched, and linear grouping
    (lyndon.suffix_arrays) sorts the suffixes of these contexts. Runs of neighbours that share WINDOW bytes are equal
    windows; all but the earliest are covered. Larger sets of contexts are first parted by the bytes in their middle.
-4. Grams with very many contexts (a phrase that every third text has) don't meet by gram: found by a count, their
-   windows meet by their own hash, a minimum that is combined before the shuffle.
+4. Grams with over HOT contexts in all (a phrase that every third text has) are fetched too, but their windows meet by
+   their own hash, so that no task holds the contexts of such a gram.
 
 Grams and contexts are compared by pairs of independent 64-bit hashes, windows of the suffix order by their bytes.
 
-Defined cases: a null text is empty; texts shorter than WINDOW stay; rows with a null doc_id neither match nor change;
-equal rows of one doc_id count as one text; of different texts under one doc_id the one with the smallest hash takes
-part and the others stay as they are; texts of any length are read in overlapping pieces.
+Every row takes part. Its place in the order is (doc_id, part), of which part lies in the upper half of the long that
+holds a start: zero for an id with one text, else a number by (doc_id, text hash) that only rows with repeated or null
+ids get.
+
+Defined cases: a null text is empty; texts shorter than WINDOW stay; rows with a null doc_id come after all others, by
+text hash; equal rows of one doc_id count as one text and lose the same bytes; different texts under one doc_id come
+in order of their hashes; texts of any length are read in overlapping pieces; an empty table gives none; columns of any
+name go through as they are.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,15 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_out, ship, shuffle_partitions, slices, tidy
+from .common import cut, numbered, release, rows_out, ship, shuffle_partitions, slices, small_join, tidy
 from .lyndon import ragged, suffix_arrays
 
 WINDOW, GRAM = 100, 36
 REACH = WINDOW - GRAM  # a window starts at most so far before its anchor
 PIECE = 1 << 20  # bytes of a text hashed at once
 BATCH = 16 << 20  # bytes of text whose equal contexts are combined before the shuffle
-LOCAL, HOT, MOST = 8, 1024, 100_000  # contexts of a gram within a batch that make it a candidate, and in all that make it hot; hot grams at most
+HOT = 1024  # contexts of a gram beyond which its windows meet by their own hash
 LANE = 48  # contexts that are sorted together
+PART = 32  # bits of a start; above them lies the part of its document
 FLAT = 1 << 19  # symbols sorted in step: their arrays stay near the processor
 
 
@@ -127,13 +133,14 @@ def contexts(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def batch_contexts(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Gram, context, doc_id, start and end of the context, place of the anchor in it and row of all anchors of a batch, and the texts."""
+    """Gram, context, doc_id, start and end of the context and place of the anchor in it, of all anchors of a batch."""
     texts = [np.frombuffer(t or b"", np.uint8) for t in b.column("text").to_pylist()]
     ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+    upper = b.column("part").to_numpy(zero_copy_only=False).astype(np.int64) << PART
     parts = [contexts(t) for t in texts]
     row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     gram, ctx, first, last, left = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return gram, ctx, ids[row], first, last, left, row, texts
+    return gram, ctx, ids[row], first + upper[row], last + upper[row], left
 
 
 def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,47 +160,23 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
         return doc, start, end
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    _, number = np.unique(doc, return_inverse=True)
-    far = np.int64(1 << 40)
-    reach = np.maximum.accumulate(end + number * far) - number * far
+    # Between the ends so far of one document and the next document's there is no order, so ends are ranked within each.
+    heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    base = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(doc)]))
+    by_end = np.lexsort((end, base))
+    rank = np.empty(len(end), np.int64)
+    rank[by_end] = np.arange(len(end))
+    reach = end[by_end][np.maximum.accumulate(rank)]
     new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])]
     last = np.r_[np.flatnonzero(new)[1:] - 1, len(doc) - 1]
     return doc[new], start[new], reach[last]
 
 
-GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("last", pa.int32())])
-ROWS_SQL = "key long, kind int, ctx long, doc_id long, at int, last int"
-#: Kinds of rows: an anchor, a window of a hot gram, a span known to be covered, a wanted context. Of anchors and
-#: wanted contexts, kind also holds the anchor's place in the context, times KINDS.
-ANCHOR, HOT_WINDOW, COVERED, WANTED, KINDS = 0, 1, 2, 3, 4
-
-
-def hot_grams(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> np.ndarray:
-    """Hashes of grams with over `hot` contexts, counted where a batch has `local` or more: the MOST commonest of them.
-
-    Which grams are hot decides how their windows meet, not whether they do.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, BATCH):
-            gram, ctx, *_ = batch_contexts(b)
-            if len(gram):
-                found, n = np.unique(unique_pairs(gram, ctx), return_counts=True)
-                often = n >= local
-                if often.any():
-                    yield rows_out(GRAMS, (found[often].view(np.int64), n[often]))
-
-    counts = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
-    counts = counts.orderBy(F.desc("n"), "gram").limit(MOST)
-    return np.sort(np.array([r.gram for r in counts.select("gram").collect()], np.int64).view(np.uint64))
-
-
-def unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a of every distinct (a, b), sorted."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    return a[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
+ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("last", pa.int64())])
+ROWS_SQL = "key long, kind int, ctx long, doc_id long, at long, last long"
+#: Kinds of rows: an anchor, a context whose windows are wanted by hash, a span known to be covered, a context wanted for
+#: suffix order. Of all but spans, kind also holds the anchor's place in the context, times KINDS.
+ANCHOR, HOT_CONTEXT, COVERED, WANTED, KINDS = 0, 1, 2, 3, 4
 
 
 def split_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,39 +187,18 @@ def split_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], order[~new & ((doc[order] != doc[lead]) | (at[order] != at[lead]))]
 
 
-def hot_windows(texts: list[np.ndarray], rows: np.ndarray, row: np.ndarray, doc: np.ndarray, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Two hashes, document and start of every window of the given contexts."""
-    out = []
-    for r in np.unique(row[rows]).tolist():
-        k = rows[row[rows] == r]
-        starts = np.unique(ragged(at[k], last[k] - at[k] - WINDOW + 1))
-        for base, h in pieces(texts[r]):
-            base = max(0, base - WINDOW) if base else 0
-            s = starts[(starts >= base) & (starts + WINDOW <= base + h.n)]
-            w = h.of(s - base, s - base + WINDOW)
-            out.append((w, mixed(w ^ h.of(s - base, s - base + WINDOW // 2)), np.full(len(s), doc[k[0]]), s))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def anchor_rows(docs: DataFrame, many) -> DataFrame:
-    """Rows of the first pass: per batch, each context once; what it repeats is covered already. many: hot grams, broadcast."""
+def anchor_rows(docs: DataFrame) -> DataFrame:
+    """Rows of the first pass: per batch, each context once; what it repeats is covered already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = many.value
         for b in slices(batches, BATCH):
-            gram, ctx, doc, at, last, left, row, texts = batch_contexts(b)
-            lead, late = split_runs(gram, ctx, doc, at)
-            busy = np.isin(gram[lead], hot) if len(hot) else np.zeros(len(lead), bool)
-            k = lead[~busy]
-            out = [(gram[k].view(np.int64), ANCHOR + left[k] * KINDS, ctx[k].view(np.int64), doc[k], at[k], last[k])]
-            spans = [(doc[late], at[late], last[late])]
-            if busy.any():
-                w, c, d, s = hot_windows(texts, lead[busy], row, doc, at, last)
-                lead, late = split_runs(w, c, d, s)
-                out.append((w[lead].view(np.int64), np.full(len(lead), HOT_WINDOW), c[lead].view(np.int64), d[lead], s[lead], s[lead] + WINDOW))
-                spans.append((d[late], s[late], s[late] + WINDOW))
-            d, s, e = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-            out.append((mixed(d.view(np.uint64) + np.uint64(1)).view(np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e))
+            gram, ctx, doc, at, last, left = batch_contexts(b)
+            k, late = split_runs(gram, ctx, doc, at)
+            d, s, e = merged(doc[late], at[late], last[late])
+            out = [
+                (gram[k].view(np.int64), ANCHOR + left[k] * KINDS, ctx[k].view(np.int64), doc[k], at[k], last[k]),
+                (mixed(d.view(np.uint64) + np.uint64(1)).view(np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e),
+            ]
             yield rows_out(ROWS, [np.concatenate(c) for c in zip(*out, strict=True)])
 
     return docs.mapInArrow(run, ROWS_SQL)
@@ -261,42 +223,110 @@ def keyed_stream(batches: Iterator[pa.RecordBatch], columns: list[str], least: i
     tidy()
 
 
-def resolved(rows: DataFrame) -> DataFrame:
-    """Covered spans, and the contexts that are wanted for suffix sorting."""
+def resolved(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """Covered spans, and the contexts that are wanted: by windows where a gram has over `hot` contexts, else for suffix order.
+
+    Rows come sorted, so that of a gram only its first `hot` contexts are ever held.
+    """
+    names = [f.name for f in ROWS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, kind, ctx, doc, at, last in keyed_stream(batches, [f.name for f in ROWS], 1 << 18):
-            known = kind == COVERED
-            out = [(np.zeros(int(known.sum()), np.int64), np.full(int(known.sum()), COVERED), ctx[known], doc[known], at[known], last[known])]
-            key, kind, ctx, doc, at, last = (c[~known] for c in (key, kind, ctx, doc, at, last))
-            lead, late = split_runs(key, kind, ctx, doc, at)
-            d, s, e = merged(doc[late], at[late], last[late])
-            out.append((np.zeros(len(d), np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e))
-            lead = lead[kind[lead] % KINDS == ANCHOR]
-            k = key[lead]
-            _, group, n = np.unique(k, return_inverse=True, return_counts=True)
-            many = lead[n[group] > 1]
-            out.append((key[many], kind[many] - ANCHOR + WANTED, ctx[many], doc[many], at[many], last[many]))
+        lead = None  # key, kind, ctx, doc, at of the run that goes on
+        held = [np.zeros(0, np.int64) for _ in names]  # contexts of the last key, which wait for its number of them
+        spent = None  # a key known to be hot, whose contexts don't wait
+
+        def wanted(rows: list[np.ndarray], final: bool) -> tuple[np.ndarray, ...]:
+            """First contexts in order of their keys -> those of keys that have several; the last key may go on."""
+            nonlocal held, spent
+            rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            key = rows[0]
+            if not len(key):
+                return tuple(rows)
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            n = np.diff(np.r_[heads, len(key)])
+            if spent is not None and key[0] == spent:
+                n[0] += hot  # what has gone already
+            many = np.repeat(n, np.diff(np.r_[heads, len(key)]))
+            stay = np.zeros(len(key), bool)
+            spent = key[-1] if n[-1] > hot else None
+            if not final and spent is None:
+                stay[heads[-1] :] = True
+            held = [c[stay] for c in rows]
+            go = ~stay & (many > 1)
+            kind = np.where(many > hot, HOT_CONTEXT, WANTED)[go]
+            return rows[0][go], rows[1][go] - ANCHOR + kind, *(c[go] for c in rows[2:])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            known = rows[1] == COVERED
+            out = [tuple(c[known] for c in rows)]
+            key, kind, ctx, doc, at, last = rows = [c[~known] for c in rows]
+            if len(key):
+                new = np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (ctx[1:] != ctx[:-1])]
+                if lead is not None and lead[:3] == (key[0], kind[0], ctx[0]):
+                    new[0] = False
+                run_of = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+                of_doc, of_at = (np.where(run_of < 0, 0 if lead is None else lead[3 + i], c[run_of]) for i, c in enumerate((doc, at)))
+                late = ~new & ((doc != of_doc) | (at != of_at))
+                d, s, e = merged(doc[late], at[late], last[late])
+                out.append((np.zeros(len(d), np.int64), np.full(len(d), COVERED), np.zeros(len(d), np.int64), d, s, e))
+                lead = (key[-1], kind[-1], ctx[-1], of_doc[-1], of_at[-1])
+                out.append(wanted([c[new] for c in rows], False))
             yield rows_out(ROWS, [np.concatenate(c) for c in zip(*out, strict=True)])
+        yield rows_out(ROWS, wanted([np.zeros(0, np.int64) for _ in names], True))
+        tidy()
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, ROWS_SQL)
+    return rows.repartition(n, "key").sortWithinPartitions("key", "kind", "ctx", "doc_id", "at").mapInArrow(run, ROWS_SQL)
+
 
+CONTEXTS = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("left", pa.int32()), ("bytes", pa.binary())])
 
-CONTEXTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary())])
+
+def hot_windows(text: np.ndarray, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes and the start of every window of the given contexts of a text."""
+    starts, out = np.unique(ragged(at, last - at - WINDOW + 1)), []
+    for base, h in pieces(text):
+        base = max(0, base - WINDOW) if base else 0
+        s = starts[(starts >= base) & (starts + WINDOW <= base + h.n)]
+        w = h.of(s - base, s - base + WINDOW)
+        out.append((w, mixed(w ^ h.of(s - base, s - base + WINDOW // 2)), s))
+    w, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
+    return w.view(np.int64), c.view(np.int64), s
 
 
 def wanted_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, doc_id, start, left, bytes) of every wanted context; left: how far its anchor is from its start."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "last", "left")).alias("asked"))  # at most one in 33 bytes of a text
+    """Bytes of every context that is wanted for suffix order (left: how far its anchor is from its start), and hashes of
+    the windows of the others (left -1), each once per batch of texts; those that repeat in a batch are spans (left -2, ctx: end)."""
+    own = F.shiftright("at", PART).cast("int").alias("part")
+    place = [F.col(c).bitwiseAND(F.lit((1 << PART) - 1)).alias(c) for c in ("at", "last")]
+    asked = wanted.select("doc_id", own, F.struct("key", "kind", *place).alias("a")).groupBy("doc_id", "part").agg(F.collect_list("a").alias("asked"))  # at most one in 33 bytes of a text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            for doc, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True):
-                rows = [(a["key"], doc, a["at"], a["left"], text[a["at"] : a["last"]]) for a in asked]
-                yield rows_out(CONTEXTS, zip(*rows, strict=True))
-
-    return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, "key long, doc_id long, start int, left int, bytes binary")
+        before = None
+        for b in slices(batches, BATCH):
+            hot = []
+            for doc, part, text, asked in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "text", "asked")), strict=True):
+                if (doc, part) == before:  # equal rows follow one another
+                    continue
+                before, upper = (doc, part), part << PART
+                rows = [(a["key"], 0, doc, a["at"] + upper, a["kind"] // KINDS, text[a["at"] : a["last"]]) for a in asked if a["kind"] % KINDS == WANTED]
+                if rows:
+                    yield rows_out(CONTEXTS, zip(*rows, strict=True))
+                more = [(a["at"], a["last"]) for a in asked if a["kind"] % KINDS == HOT_CONTEXT]
+                if more:
+                    w, c, s = hot_windows(np.frombuffer(text, np.uint8), *np.array(more, np.int64).T)
+                    hot.append((w, c, np.full(len(s), doc), s + upper))
+            if hot:
+                w, c, d, s = (np.concatenate(x) for x in zip(*hot, strict=True))
+                k, late = split_runs(w, c, d, s)
+                yield rows_out(CONTEXTS, (w[k], c[k], d[k], s[k], np.full(len(k), -1), pa.nulls(len(k), pa.binary())))
+                d, s, e = merged(d[late], s[late], s[late] + WINDOW)
+                yield rows_out(CONTEXTS, (mixed(d.view(np.uint64)).view(np.int64), e, d, s, np.full(len(d), -2), pa.nulls(len(d), pa.binary())))
+
+    return docs.join(asked, ["doc_id", "part"]).select("doc_id", "part", "text", "asked").mapInArrow(run, "key long, ctx long, doc_id long, start long, left int, bytes binary")
 
 
 Context = tuple[int, int, bytes, int]  # doc_id, start, bytes, left
@@ -372,7 +402,7 @@ def lanes_covered(lanes: list[list[Context]]) -> tuple[np.ndarray, np.ndarray, n
     return merged(d[late], s[late], s[late] + WINDOW)
 
 
-SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("last", pa.int32())])
+SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("last", pa.int64())])
 
 
 def sorted_spans(found: DataFrame) -> DataFrame:
@@ -380,7 +410,17 @@ def sorted_spans(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, tuple[list[list[Context]], list[int]]] = {}  # lanes of like length end together
-        for key, doc, start, left, text in keyed_stream(batches, ["key", "doc_id", "start", "left", "bytes"], 1 << 14):
+        for key, ctx, doc, start, left, text in keyed_stream(batches, ["key", "ctx", "doc_id", "start", "left", "bytes"], 1 << 14):
+            known = left == -2
+            yield rows_out(SPANS, (doc[known], start[known], ctx[known]))
+            by_hash = left == -1
+            if by_hash.any():
+                _, late = split_runs(*(c[by_hash] for c in (key, ctx, doc, start)))
+                d, s = doc[by_hash][late], start[by_hash][late]
+                yield rows_out(SPANS, merged(d, s, s + WINDOW))
+            key, doc, start, left, text = (c[left >= 0] for c in (key, doc, start, left, text))
+            if not len(key):
+                continue
             bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
             for a, b in zip(bounds, bounds[1:], strict=False):
                 for equal, group in parted(list(zip(doc[a:b].tolist(), start[a:b].tolist(), text[a:b], left[a:b].tolist(), strict=True))):
@@ -399,36 +439,40 @@ def sorted_spans(found: DataFrame) -> DataFrame:
                 yield rows_out(SPANS, lanes_covered(lanes))
 
     n = shuffle_partitions(found.sparkSession)
-    return found.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start int, last int")
+    return found.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start long, last long")
 
 
-def free(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def takes_part(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the rows that may match: ids that aren't null, one text for each."""
+def placed(docs: DataFrame) -> DataFrame:
+    """Every row of docs: its columns but the text in a struct row, doc_id and part (its place in the order) and text, null
+    if it was. Only rows with null ids or with ids of several texts get a part, so others need no join."""
     ship(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
-    return d.where("doc_id is not null")
-
-
-def repeated_ids(docs: DataFrame) -> DataFrame:
-    """Ids with more than one row, and the hash of the text that stands for them."""
-    h = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
-    return docs.select("doc_id", h.alias("h")).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("h")).where("n > 1").select(F.col("doc_id").cast("long").alias("doc_id"), "h")
-
-
-def covered_spans(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, last) whose union is what every document loses; docs has one row per id."""
-    many = docs.sparkSession.sparkContext.broadcast(hot_grams(docs, local, hot))
-    rows = cut(resolved(anchor_rows(docs, many)))
-    free(docs)
-    spans = cut(sorted_spans(wanted_contexts(docs, rows.where(F.col("kind") % KINDS == WANTED).select("doc_id", "key", "at", "last", F.floor(F.col("kind") / KINDS).cast("int").alias("left")))))
-    free(docs)
-    return rows.where(F.col("kind") == COVERED).select("doc_id", F.col("at").alias("start"), "last").unionByName(spans)
+    rest = [c for c in docs.columns if c.lower() != "text"]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    raw = F.col("text").cast("binary")
+    h = F.xxhash64(F.coalesce(raw, F.lit("").cast("binary")))
+    none, last = F.col("doc_id").isNull().alias("none"), F.lit((1 << 63) - 1)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"))
+    several = ids.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("doc_id is null or lo <> hi")
+    several = cut(several.select(none, F.coalesce("doc_id", last).alias("doc_id")))
+    d = docs.select(row.alias("row"), none, F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), raw.alias("text"))
+    if several.isEmpty():
+        return d.select("row", "doc_id", F.lit(0).alias("part"), "text")
+    odd = small_join(ids.select(none, F.coalesce("doc_id", last).alias("doc_id"), "h"), several, ["none", "doc_id"], "left_semi").distinct()
+    odd = cut(numbered(odd, ["none", "doc_id", "h"]).withColumn("part", (F.col("number") + 1).cast("int")).drop("number"))
+    d = small_join(d.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("").cast("binary")))), odd, ["none", "doc_id", "h"], "left")
+    return d.select("row", "doc_id", F.coalesce("part", F.lit(0)).alias("part"), "text")
+
+
+def covered_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """texts(doc_id, part, text) -> (doc_id, start, last) whose union is what every document loses; part is in start and last."""
+    spark = texts.sparkSession
+    texts = texts.select("doc_id", "part", F.coalesce("text", F.lit("").cast("binary")).alias("text"))
+    rows = cut(resolved(anchor_rows(texts), hot))
+    release(spark)
+    kind = F.col("kind") % KINDS
+    spans = cut(sorted_spans(wanted_contexts(texts, rows.where(kind.isin(WANTED, HOT_CONTEXT)))))
+    release(spark)
+    return rows.where(kind == COVERED).select("doc_id", F.col("at").alias("start"), "last").unionByName(spans)
 
 
 KEPT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -448,17 +492,10 @@ def without_repeats(docs: DataFrame, shape: Callable[[bytes], bytes] = bytes) ->
     that stay; null texts are empty ones) and whether the text was null."""
     rest = [c for c in docs.columns if c.lower() != "text"]
     names = [f"c{i}" for i in range(len(rest))]
-    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)])
-    d = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    one = takes_part(docs)
-    twice = cut(repeated_ids(docs))
-    if not twice.isEmpty():
-        one = one.join(twice, "doc_id", "left").where("h is null or xxhash64(text) = h").drop("h").dropDuplicates(["doc_id"])
-        same = F.xxhash64(F.coalesce("text", F.lit("").cast("binary"))) == F.col("h")
-        d = d.join(twice, "doc_id", "left").select("row", "text", F.when(F.col("h").isNull() | same, F.col("doc_id")).alias("part"))
-    else:
-        d = d.withColumnRenamed("doc_id", "part")
-    spans = covered_spans(one).groupBy(F.col("doc_id").alias("part")).agg(F.collect_list(F.struct("start", "last")).alias("spans"))
+    d = placed(docs)
+    place = [F.col(c).bitwiseAND(F.lit((1 << PART) - 1)).alias(c) for c in ("start", "last")]
+    spans = covered_spans(d).select("doc_id", F.shiftright("start", PART).cast("int").alias("part"), F.struct(*place).alias("s"))
+    spans = spans.groupBy("doc_id", "part").agg(F.collect_list("s").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -471,7 +508,7 @@ def without_repeats(docs: DataFrame, shape: Callable[[bytes], bytes] = bytes) ->
                 rows.append((len(text), len(text) - len(kept), len(start), shape(kept)))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("none"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), KEPT, strict=True))], names=["row", "none", *KEPT.names])
 
-    found = d.join(spans, "part", "left").select("row", F.col("text").isNull().alias("none"), "text", "spans")
+    found = d.join(spans, ["doc_id", "part"], "left").select("row", F.col("text").isNull().alias("none"), "text", "spans")
     kind = d.schema["row"].dataType.simpleString()
     out = found.mapInArrow(run, f"row {kind}, none boolean, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("row", F.struct(*[F.col(f"row.{n}").alias(c) for c, n in zip(rest, names, strict=True)]))

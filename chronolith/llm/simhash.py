@@ -8,8 +8,12 @@ distance, and only a spanning forest of a key's links is emitted. A key with mor
 apart instead: each of its fingerprints is keyed by itself and its 64 one-bit neighbours. Links at two bits share a
 neighbour, and no such key can have more than 65 distinct fingerprints.
 
+The pipeline's stage, which keeps one document of each group, is in similar.py.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; a null doc_id keeps its
-fingerprint and takes the smallest non-null doc_id of its component (null if there is none); repeated rows stay.
+fingerprint and takes the smallest non-null doc_id of its component (null if there is none); repeated rows and different
+texts under one doc_id each have a row; texts of any length are read whole; an empty table gives none; columns but
+doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, rows_out, ship, shuffle_partitions, slices
+from .common import cut, id_text, rows_out, salted_join, ship, shuffle_partitions, slices
 from .components import connected_components
 
 #: Fingerprints under one key of two blocks beyond which the key is taken apart.
@@ -183,15 +187,7 @@ def near_duplicates(docs: DataFrame, bits: int = 2, hot: int = HOT) -> DataFrame
     least = labelled.groupBy("root").agg(F.min("rep").alias("least"))
     moved = cut(labelled.join(least, "root").select("fp", "least"))
     classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return each.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, bits: int = 2) -> DataFrame:
-    """The rows of docs whose doc_id is its component's least, one row for each; rows without a doc_id stay."""
-    found = near_duplicates(docs, bits)
-    kept = cut(found.where("doc_id = component_id").select("doc_id").distinct())
-    least = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
-    return least.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return salted_join(each, cut(classes), "fp").select("doc_id", "fp", "component_id")  # one fingerprint may hold a third of all rows
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronolith.llm import catalog, packing, quality_rules, quality_votes, repeats, simhash
+from chronolith.llm import catalog, packing, quality_rules, quality_votes, repeats, similar
 
 from .fixtures import documents
 from .test_repeats import brute
+from .test_similar import five, groups
 
 
 def test_stages_one_by_one(spark, small, tmp_path):
@@ -21,7 +23,10 @@ def test_stages_one_by_one(spark, small, tmp_path):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     assert ids(good) == ids(quality_votes.scores(start, labels).where("predicted = 1")) and 0 < good.count() < start.count()
     assert ids(passed) == ids(quality_rules.judged(good, labels).where("kept")) and 0 < passed.count() < good.count()
-    assert ids(single) == ids(simhash.near_duplicates(passed).where("doc_id = component_id"))
+    rows, least = sorted(passed.select("doc_id", "text").collect()), {}
+    for r, root in zip(rows, groups([r.text for r in rows]), strict=True):  # the stage's own rule: Jaccard of five-word shingles, by all pairs
+        least.setdefault(root, r.doc_id)
+    assert ids(single) == sorted(least.values()) and any(five(r.text) for r in rows)
     gone = brute([(r.doc_id, r.text.encode()) for r in single.collect()])
     left = {r.doc_id: r for r in cut.collect()}
     for r in single.collect():
@@ -39,9 +44,20 @@ def test_whole_run(spark, small):
 
 
 def test_stages_on_odd_rows(spark, small):
-    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars", "kept")
-    for stage in (simhash.keep_one, repeats.cut_repeats, packing.packed_documents):
-        assert stage(docs).count() > 0 and stage(docs.limit(0)).count() == 0
+    """Nulls, repeats, one very long text, extra columns that operators use too; and no rows at all."""
+    docs = documents(spark).withColumns({c: F.lit("x") for c in ("th", "score", "_th", "part", "llr")})
+    long = docs.where("doc_id = 35").withColumn("text", F.repeat(F.concat("text", F.lit(" Zz9 ")), 2000))
+    docs = docs.unionByName(long)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"), F.lit(0).alias("toxic"))
+    keep = (lambda d: quality_votes.keep_good(d, labels), lambda d: quality_rules.keep_passing(d, labels), similar.keep_one, repeats.cut_repeats)
+    for stage in (*keep, packing.packed_documents):
+        assert stage(docs).count() >= 0 and stage(docs.limit(0)).count() == 0
+        if stage in keep:
+            assert stage(docs).dtypes == docs.dtypes
+    for same in (similar.keep_one, repeats.cut_repeats, packing.packed_documents):
+        assert same(docs).count() > 0
+    none = labels.limit(0)
+    assert quality_rules.keep_passing(docs, none).count() > 0 and quality_votes.keep_good(docs, none).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

@@ -66,18 +66,52 @@ def test_as_brute_force(spark, seed):
     check(spark, docs, repeats.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))
 
 
-def test_hot_grams_and_small_lanes(spark, monkeypatch):
-    docs = corpus(5, 80)
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
-    hot = repeats.hot_grams(repeats.takes_part(df), 2, 4)
-    assert len(hot)
-    spans = repeats.covered_spans(repeats.takes_part(df), 2, 4).groupBy("doc_id").agg(F.collect_list(F.struct("start", "last")).alias("s")).collect()
-    want = brute([(d, t.encode()) for d, t in docs])
+def spans_of(docs, df, hot):
+    spans = repeats.covered_spans(repeats.placed(df), hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "last")).alias("s")).collect()
     got = {d: np.zeros(len(t.encode()), bool) for d, t in docs}
     for r in spans:
         for x in r.s:
             got[r.doc_id][x.start : x.last] = True
-    assert all((got[d] == want[d]).all() for d in want)
+    return got
+
+
+@pytest.mark.parametrize("batch", [5, 10_000])
+def test_hot_grams_and_small_batches(spark, monkeypatch, batch):
+    """Whichever way windows meet, and wherever batches end, the same bytes are covered."""
+    docs = corpus(5, 80)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    want = brute([(d, t.encode()) for d, t in docs])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for hot in (1, 4, 1024):
+            got = spans_of(docs, df, hot)
+            assert all((got[d] == want[d]).all() for d in want), hot
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_suffix_order_decides_what_hashes_bring_together():
+    """Contexts of one gram that differ share windows, which only the suffix order finds."""
+    rnd = random.Random(3)
+    text = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    mid = text(120)
+    lane = [(1, 0, text(20) + mid, 40), (2, 0, mid + text(30), 20)]
+    d, s, e = repeats.lanes_covered([lane])
+    assert (d.tolist(), s.tolist(), e.tolist()) == ([2], [0], [120])
+
+
+def test_repeated_and_null_ids_all_take_part(spark):
+    rnd = random.Random(7)
+    t, u, v = ("".join(rnd.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    top = (1 << 63) - 1
+    rows = [(1, t), (2, t + "AAAA"), (2, u), (2, t), (2, t), (5, u + v), (None, v), (None, t), (None, None), (top, v + "x"), (7, u[:150] + u[:150])]
+    got = {}
+    for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault((r.row.doc_id, r.n_bytes, bool(r.n_removed)), []).append(r.n_removed)
+    assert got[1, 300, False] == [0] and got[2, 304, True] == [300]
+    assert got.get((2, 300, True), []) == [300, 300] and got[2, 300, False] == [0]  # the two copies of t; u is the first of its kind
+    assert got[5, 600, True] == [300] and got[7, 300, True] == [300] and got[top, 301, True] == [300]
+    assert got[None, 300, True] == [300, 300] and got[None, 0, False] == [0]
 
 
 def test_parting_keeps_every_common_window():
@@ -114,7 +148,7 @@ def test_defined_cases(spark):
     rows = [(1, t, "x"), (1, t, "x"), (2, None, "x"), (3, "", "x"), (None, t, "x"), (4, t, "x"), (5, "short", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     got = sorted((r.row.doc_id if r.row.doc_id else -1, r.n_removed) for r in repeats.without_repeats(df).collect())
-    assert got[0] == (-1, 0)
+    assert got[0] == (-1, 300)
     assert got[-2] == (4, 300) and got[-1] == (5, 0)
     assert [g for g in got if g[0] == 1] == [got[1], got[2]] and got[1][1] == got[2][1]
     assert repeats.without_repeats(df.limit(0)).collect() == []

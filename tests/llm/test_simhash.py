@@ -77,14 +77,12 @@ def test_components_of_a_long_chain(spark):
     assert {(r.node, r.root) for r in connected_components(edges).collect()} == {(i, 0) for i in range(201)}
 
 
-def test_keep_one_and_empty(spark):
-    docs = documents(spark, 60)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    want = classes([(r.doc_id, slow_fingerprint(r.text)) for r in docs.collect()])
-    assert sorted(ids) == sorted({d for (d, _), least in want.items() if d is not None and d == least})
-    assert kept.where("doc_id is null").count() == 2
+def test_one_fingerprint_of_a_third_of_all_rows_and_empty(spark):
+    texts = [""] * 900 + [f"word{i} and{i} more{i} of{i} it{i}" for i in range(600)] + ["the same text of all"] * 400
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, fp long")
+    want = classes([(i, slow_fingerprint(t)) for i, t in enumerate(texts)])
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(texts) and all(want[r.doc_id, r.fp % (1 << 64)] == r.component_id for r in got)
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
