@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -44,26 +45,56 @@ def test_rebalancing_moves_little_and_makes_a_version(spark, tmp_path):
 
 
 def brute(rows, every, k):
-    fine = {i: np.floor(64 * np.array(v, np.float64)).astype(int) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    fine = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) and abs(64 * float(x)) < 2.0**63 for x in v)]
+    fine.sort()
     out = []
-    for q in sorted(fine):
-        if q % every == 0:
-            best = sorted((-int(fine[q] @ v), i) for i, v in fine.items() if i != q)[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return out
+    for n, (i, q) in enumerate(fine):
+        if i % every == 0:
+            score = lambda v: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v, strict=True))))  # noqa: B023, E731
+            found = sorted((-score(v), j, m) for m, (j, v) in enumerate(fine) if m != n and len(v) == len(q))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j, _) in enumerate(found)]
+    return sorted(out)
+
+
+def found(spark, rows, k=20):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("floor", "copy", "q", "rank")}).repartition(4)
+    v = topk.quantised(df)
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where(F.col("vec_id") % 20 == 0), k).collect())
 
 
 def test_top_k_as_brute_force(spark, monkeypatch):
     rnd = random.Random(9)
     rows = [(i, [float(np.float32(rnd.gauss(0, 0.3))) for _ in range(6)]) for i in range(400)]
-    rows += [(400 + i, rows[20][1]) for i in range(60)] + [(500, None), (520, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (540, [float("nan")] * 6), (560, [float("inf")] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("floor", F.lit("x")).repartition(4)
+    rows += [(400 + i, rows[20][1]) for i in range(60)] + [(500, None), (520, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (540, [float("nan")] * 6), (560, [float("inf")] * 6), (580, []), (None, [1.0] * 6), (600, [1.0, 2.0])]
     monkeypatch.setattr(topk, "SHARD", 100)
     monkeypatch.setattr(topk, "SEED", 50)
     monkeypatch.setattr(topk, "BLOCK", 16)
-    v = topk.quantised(df)
-    got = topk.top_k(v, v.where(F.col("vec_id") % 20 == 0), 20).collect()
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, 20, 20)
-    few = v.where("vec_id < 10")
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(few, few.where("vec_id = 0"), 20).collect()) == brute(rows[:10], 20, 20)
-    assert topk.top_k(v.limit(0), v.limit(0), 20).collect() == []
+    assert found(spark, rows) == brute(rows, 20, 20)
+    assert found(spark, rows[:10]) == brute(rows[:10], 20, 20)
+    assert found(spark, []) == []
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    rnd = random.Random(4)
+    rows = [(i % 30, [float(np.float32(rnd.gauss(0, 1) * 10.0 ** rnd.choice([0, 6, 12, 15, 18, 30]))) for _ in range(4)]) for i in range(120)]
+    rows += rows[20:24] + [(40, [4e7, 1.0, 1.0, 1.0]), (40, [4e7, 1.0, 1.0, 1.0])]
+    assert found(spark, rows, 5) == brute(rows, 20, 5)
+
+
+def test_the_tree_prunes_and_stays_exact():
+    """On clustered vectors most pairs of a query and a node are never opened, and shards hand their k-th score on."""
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(0, 60, (40, 8))
+    x = np.floor(centres[rnd.integers(0, 40, 4000)] + rnd.normal(0, 3, (4000, 8))).astype(np.int64)
+    ids, none = np.arange(4000), np.zeros(4000, np.int64)
+    best = topk.Best(ids[:50], none[:50], x[:50], np.full(50, -np.inf), 10)
+    opened, nodes = [], []
+    for at in (slice(0, 2000), slice(2000, 4000)):
+        tree = topk.Ball(ids[at], none[at], x[at], 32)
+        opened.append(tree.search(best))
+        nodes.append(50 * len(tree.slices))
+    scores = x[:50] @ x.T
+    for i in range(50):
+        want = sorted((-int(s), j, 0) for j, s in enumerate(scores[i]) if j != i)[:10]
+        assert [tuple(map(int, f)) for f in best.found[i]] == want
+    assert sum(opened) < 0.5 * sum(nodes) and opened[1] <= opened[0]
