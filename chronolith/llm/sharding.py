@@ -2,23 +2,27 @@
 
 A record's key hashes to one of a fixed number of virtual slots; bytes and rows are summed per slot, and a slot map
 says which shard holds each slot. The map is a table of as many rows as there are slots, whatever the corpus size,
-so it may be planned on the driver and broadcast. Every edit makes a new version: rebalancing moves few slots, from
-the fullest shards to the emptiest, and leaves all others where they are.
+so it may be planned on the driver and broadcast. It is stored, a folder for each version; a version is never written
+twice. Every edit makes a new version: rebalancing moves few slots, from the fullest shards to the emptiest, and leaves
+all others where they are. Documents are dealt by the newest version, as it is read back from storage.
 
 Defined cases: a null text has no bytes and CRC-32 zero; a null doc_id is slotted by its text's checksum, so many
-null ids don't share one slot; rows that repeat share a slot and get places of their own.
+null ids don't share one slot; rows that repeat share a slot and get places of their own; a text of any length counts
+whole, in one slot; an empty table gives no rows and a map all the same; columns but doc_id and text are not read, so
+their names can't clash.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, literal_table
+from .common import cut, literal_table, shared_folder
 
 SLOTS = 4096
 
@@ -38,21 +42,28 @@ class SlotMap:
             found[shard] += size.get(slot, 0)
         return found
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        rows = [{"vslot": k, "shard": s, "version": self.version} for k, s in enumerate(self.shard_of)]
-        return literal_table(spark, rows, "vslot: int, shard: int, version: int")
-
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the map table at path."""
-        self.table(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Stores this version below path; a version that is there already raises."""
+        rows = [{"vslot": k, "shard": s, "shards": self.shards} for k, s in enumerate(self.shard_of)]
+        literal_table(spark, rows, "vslot: int, shard: int, shards: int").coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """The given version of a stored map, or else the newest."""
         found = spark.read.parquet(path)
         version = version or found.agg(F.max("version")).first()[0]
-        rows = found.where(F.col("version") == version).select("vslot", "shard").orderBy("vslot").collect()
-        return SlotMap(tuple(r.shard for r in rows), max(r.shard for r in rows) + 1, version)
+        rows = found.where(F.col("version") == version).select("vslot", "shard", "shards").orderBy("vslot").collect()  # one row a slot
+        return SlotMap(tuple(r["shard"] for r in rows), rows[0]["shards"], version)
+
+    @staticmethod
+    def stored(spark: SparkSession, path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def even(shards: int, slots: int = SLOTS) -> SlotMap:
+    """A map that knows no sizes."""
+    return SlotMap(tuple(k % shards for k in range(slots)), shards)
 
 
 def plan(size: dict[int, int], shards: int, slots: int = SLOTS) -> SlotMap:
@@ -108,14 +119,24 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return found.withColumn("vslot", F.pmod(key, F.lit(slots)).cast("int"))
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """Every row with its virtual slot, shard and gapless place in its shard; the map is stored if a path is given."""
+def shard(docs: DataFrame, map_path: str, shards: int = 8, slots: int = SLOTS, tolerance: float = 0.0) -> DataFrame:
+    """Every row with its virtual slot, shard and gapless place in its shard.
+
+    The newest map at map_path (an even one is stored first where there is none) is rebalanced for the bytes that the
+    slots have now, stored as the next version if a slot moves or the number of shards does, and read back.
+    """
     spark = docs.sparkSession
     rows = cut(sized(docs, slots))
     per_slot = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # at most `slots` rows
-    held = plan({r.vslot: r.bytes for r in per_slot}, shards, slots)
-    if map_path:
-        held.save(spark, map_path)
+    if not SlotMap.stored(spark, map_path):
+        even(shards, slots).save(spark, map_path)
+    now = SlotMap.load(spark, map_path)
+    if len(now.shard_of) != slots:
+        raise ValueError(f"the stored map has {len(now.shard_of)} slots; slots are fixed")
+    new = rebalance(now, {r.vslot: r.bytes for r in per_slot}, shards, tolerance)
+    if new.moved or new.shards != now.shards:
+        new.save(spark, map_path)
+    held = SlotMap.load(spark, map_path)
     # A place is the slot's first place in its shard, from the slots' counts, plus the row's number in its slot.
     count, first, at = {r.vslot: r.rows for r in per_slot}, [], [0] * shards
     for k, s in enumerate(held.shard_of):
@@ -127,6 +148,6 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str |
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
-    """Law `bytes`: the map deals the slots' summed bytes near equally."""
-    found = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Law `bytes`: the map deals the slots' summed bytes near equally. Each run keeps its map in a folder of its own."""
+    found = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.col("version").alias("map_version"))

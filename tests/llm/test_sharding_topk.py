@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chronolith.llm import sharding, topk
@@ -12,7 +13,7 @@ from .fixtures import documents
 
 def test_shards(spark, tmp_path):
     docs = documents(spark, 300)
-    got = sharding.shard(docs, 8, map_path=str(tmp_path)).collect()
+    got = sharding.shard(docs, f"{tmp_path}/map").collect()
     want = sorted((str(r.doc_id), len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == want
     for s in range(8):
@@ -20,9 +21,24 @@ def test_shards(spark, tmp_path):
         assert places == list(range(len(places)))
     sizes = [sum(r.size for r in got if r["shard"] == s) for s in range(8)]
     assert max(sizes) - min(sizes) <= max(w[1] for w in want)
-    stored = sharding.SlotMap.load(spark, str(tmp_path))
-    assert stored.version == 1 and all(stored.shard_of[r.vslot] == r["shard"] for r in got)
-    assert sharding.shard(docs.limit(0)).collect() == []
+    stored = sharding.SlotMap.load(spark, f"{tmp_path}/map")
+    assert stored.version == 2 and all(stored.shard_of[r.vslot] == r["shard"] for r in got)
+    assert sharding.shard(docs.limit(0), f"{tmp_path}/none").collect() == []
+
+
+def test_a_second_run_edits_the_stored_map(spark, tmp_path):
+    docs, at = documents(spark, 300), f"{tmp_path}/map"
+    first = {r.vslot: r["shard"] for r in sharding.shard(docs, at).collect()}
+    assert {r.vslot: r["shard"] for r in sharding.shard(docs, at).collect()} == first  # nothing to move, no new version
+    assert sharding.SlotMap.load(spark, at).version == 2
+    more = docs.unionByName(docs.withColumns({"doc_id": F.col("doc_id") + 100_000, "text": F.repeat("text", 3)}))
+    second = sharding.shard(more, at, shards=9).collect()
+    newest = sharding.SlotMap.load(spark, at)
+    assert newest.version == 3 and newest.shards == 9 and all(newest.shard_of[r.vslot] == r["shard"] for r in second)
+    sizes = [sum(r.size for r in second if r["shard"] == s) for s in range(9)]
+    assert max(sizes) - min(sizes) <= max(r.size for r in second)
+    with pytest.raises(Exception, match="(?i)exists"):
+        newest.save(spark, at)
 
 
 def test_rebalancing_moves_little_and_makes_a_version(spark, tmp_path):
@@ -39,9 +55,9 @@ def test_rebalancing_moves_little_and_makes_a_version(spark, tmp_path):
     fourth = sharding.rebalance(third, grown, 6)
     assert max(fourth.shard_of) == 5
     for m in (first, second):
-        m.save(spark, str(tmp_path))
-    assert sharding.SlotMap.load(spark, str(tmp_path)).shard_of == second.shard_of
-    assert sharding.SlotMap.load(spark, str(tmp_path), 1).shard_of == first.shard_of
+        m.save(spark, f"{tmp_path}/map")
+    assert sharding.SlotMap.load(spark, f"{tmp_path}/map").shard_of == second.shard_of
+    assert sharding.SlotMap.load(spark, f"{tmp_path}/map", 1).shard_of == first.shard_of
 
 
 def brute(rows, every, k):
