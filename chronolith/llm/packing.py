@@ -7,11 +7,17 @@ open bins that can hold a piece under every constraint, the one with the smalles
 The pieces are dealt by hash into groups of about `group` full bins, each packed by itself, so no task grows with the
 input and each group wastes at most one bin. Numbers of bins are unique over all groups.
 
-Defined cases: null texts pack as one end token; null or repeated doc_ids and repeated rows are pieces like others.
+op8 bounds tokens only, as its contract does: its other two capacities are what the tokens imply and never bind.
+best_fit() takes tighter ones, and tests pack under each of them.
+
+Defined cases: null texts pack as one end token; null or repeated doc_ids and repeated rows are pieces like others; texts
+of any length are cut into pieces; an empty table gives none; columns but doc_id and text are not read, so their names
+can't clash.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,16 +82,24 @@ def best_fit(pieces: DataFrame, tokens: int = 4096, docs: int | None = None, att
     bits = 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), schema=pa.schema([("g", pa.int64()), *list(PACKED)[:5]]))
-        g, lengths = rows.column("g").to_numpy(), rows.column("length").to_numpy()
-        ids, offsets = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
-        for k in np.unique(g):
-            at = np.flatnonzero(g == k)
-            b, offsets[at] = pack(lengths[at], tokens, docs, attention, rule)
-            ids[at] = b + (int(k) << bits)
-        yield rows_out(PACKED, [*(rows.column(x.name).combine_chunks() for x in list(PACKED)[:5]), ids, offsets])
-
-    # All of a group in one task, a bounded number of rows; row order is fixed so that a rerun packs alike.
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            b, offsets = pack(rows.column("length").to_numpy(), tokens, docs, attention, rule)
+            ids = b + (rows.column("g")[0].as_py() << bits)
+            return rows_out(PACKED, [*(rows.column(x.name).combine_chunks() for x in list(PACKED)[:5]), ids, offsets])
+
+        held: list[pa.RecordBatch] = []  # of one group, which ends where the next begins
+        for b in batches:
+            g = b.column("g").to_numpy()
+            for start, end in itertools.pairwise([*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)] if len(g) else []):
+                if held and held[0].column("g")[0].as_py() != g[start]:
+                    yield out(held)
+                    held = []
+                held.append(b.slice(start, end - start))
+        if held:
+            yield out(held)
+
+    # A task holds one group at a time, a bounded number of rows; row order is fixed so that a rerun packs alike.
     keyed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     dealt = keyed.repartition(min(groups, shuffle_partitions(spark) * 4), "g").sortWithinPartitions("g", "doc_id", "piece", "ids_crc32", "length")
     return dealt.select("g", *[x.name for x in list(PACKED)[:5]]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
