@@ -4,11 +4,13 @@ A list is a log of dated changes: an entry (a host, or a host and the first fold
 action, or removed. Changes of one entry become validity intervals [from, to); of changes at the same moment the
 removal comes last. A capture's keys are its host, every parent domain, and the host with every leading folder of its
 path. Intervals are cut at month borders, so captures and intervals meet by equality on (key, month) and only the few
-changes within one month are compared; a hot host is spread over its months, and adaptive execution splits what is
-left. Of the entries active at fetch time the one with the longest key decides.
+changes within one month are compared; keys that no list entry has go before the join, and a hot host is spread over
+its months and, where it is among the commonest keys, over copies of the few intervals that it meets. Of the entries active at fetch time the one with the longest key decides.
 
 Defined cases: a null, empty or unparseable URL, or a null fetch time, matches nothing and is kept; list rows with a
-null entry or date are ignored; repeated changes count once; captures that repeat are each judged.
+null entry or date are ignored; repeated changes count once; captures that repeat are each judged; URLs of any length
+are read whole; an empty table gives no rows, an empty list keeps all; captures keep their columns, whatever these are
+called: where they have an entry or action of their own, those of the list come as list_entry and list_action.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, literal_table
+from .common import cut, literal_table, salted_join, small_join
 
 FOREVER = "9999-12-31 00:00:00"
 URL = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)"
@@ -60,14 +62,21 @@ def as_of(captures: DataFrame, changes: DataFrame) -> DataFrame:
     cells = F.sequence(month(F.greatest("valid_from", "lo")), month(F.least("valid_to", "hi")), F.expr("interval 1 month"))
     held = held.select("entry", "action", "valid_from", "valid_to", F.explode(cells).alias("month"))
     asked = c.where("t is not null").select("row", "t", month(F.col("t")).alias("month"), F.explode(keys(F.col("url"))).alias("entry"))
-    return asked.join(held, ["entry", "month"]).where("t >= valid_from and t < valid_to").select("row", "entry", "action")
+    listed = cut(held.select("entry").distinct())
+    asked = small_join(asked, listed, ["entry"], "left_semi").select("row", "t", "month", "entry")
+    return salted_join(asked, held, ["entry", "month"]).where("t >= valid_from and t < valid_to").select("row", "entry", "action")
 
 
 def filter_captures(captures: DataFrame, changes: DataFrame, default: str = "keep") -> DataFrame:
     """captures with the longest entry active at fetch time and its action; default where none is active."""
-    c = cut(captures.withColumn("row", F.monotonically_increasing_id()))  # the numbers must not change between two reads
+    names = [f"c{i}" for i in range(len(captures.columns))]
+    whole = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(captures.columns, names, strict=True)])
+    c = cut(captures.select(whole.alias("capture"), "url", "fetched_at", F.monotonically_increasing_id().alias("row")))  # the numbers must not change between two reads
     best = as_of(c, changes).groupBy("row").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "action")).alias("x"))
-    return c.join(best, "row", "left").select(*[c[x] for x in captures.columns], F.col("x.entry").alias("entry"), F.coalesce("x.action", F.lit(default)).alias("action"))
+    taken = {x.lower() for x in captures.columns}
+    entry, action = (x if x not in taken else f"list_{x}" for x in ("entry", "action"))
+    own = [F.col(f"capture.{n}").alias(x) for x, n in zip(captures.columns, names, strict=True)]
+    return c.join(best, "row", "left").select(*own, F.col("x.entry").alias(entry), F.coalesce("x.action", F.lit(default)).alias(action))
 
 
 #: Dated changes of the list that the query applies.

@@ -114,14 +114,50 @@ def test_votes_keep_rows_and_empty_tables(spark):
 
 def test_blocked_cosines_are_exact():
     rnd = np.random.default_rng(2)
-    x, y = rnd.random((50, quality_votes.BINS + quality_votes.LAGS)).astype(np.float32), rnd.integers(0, 2, 50)
+    x, y = rnd.random((50, quality_votes.BINS + quality_votes.PATTERNS)).astype(np.float32), rnd.integers(0, 2, 50)
     m = quality_votes.Votes(x, y, 0.6, rank=8)
     whole = m.score(x[:20], 5)
     assert np.allclose(whole, np.concatenate([m.score(x[i : i + 7], 5) for i in (0, 7, 14)])[:20], atol=1e-5)
-    z = quality_votes.rows_normal(quality_votes.rows_normal(x[:1] * m.idf) @ m.basis)[0]
-    near = np.argsort(-(m.latent @ z))[:5]
-    w = np.maximum(m.latent[near] @ z, 0) ** quality_votes.SHARP * m.weight[near]
-    assert abs(whole[0] - (w * y[near]).sum() / w.sum()) < 1e-4
+    for i in range(20):  # every row by itself, from its cosines with every reference
+        v = x[i] * m.idf
+        a, b = v[: quality_votes.BINS], v[quality_votes.BINS :]
+        z = np.concatenate([a / np.linalg.norm(a), b / np.linalg.norm(b)]) @ m.basis
+        cos = [float(r @ z) / float(np.linalg.norm(z)) for r in m.latent]
+        near = sorted(range(len(cos)), key=lambda k: -cos[k])[:5]
+        w = [max(cos[k], 0) ** quality_votes.SHARP * m.weight[k] for k in near]
+        assert abs(whole[i] - sum(a for a, k in zip(w, near, strict=True) if y[k]) / sum(w)) < 1e-4
+
+
+def test_patterns_of_word_windows():
+    found = quality_votes.grams(b"a b a a c " * 3)[quality_votes.BINS :]
+    words, want = ("a b a a c " * 3).split(), {}
+    for i in range(len(words) - 3):
+        w = words[i : i + 4]
+        code = 0
+        for j in range(1, 4):
+            code = code * 4 + w.index(w[j])
+        want[code] = want.get(code, 0) + 1
+    assert {int(k): round(float(np.expm1(found[k]))) for k in np.flatnonzero(found)} == want
+
+
+def test_votes_on_the_supplied_labels(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    got = quality_votes.scores(read("documents"), read("labels")).join(read("labels"), "doc_id").where("held_out and quality is not null").collect()
+    assert sum(r.predicted == r.quality for r in got) >= 0.97 * len(got) > 0
+
+
+def test_url_lists_keep_the_columns_of_captures(spark):
+    """Names that the operator uses too, a hot host in one month, and no rows or no list at all."""
+    rows = [(i, "http://hot.example.org/a", "2024-03-05 10:00:00", "r", "e", "x", i) for i in range(700)] + [(9000, None, None, None, "e", None, 1), (9001, "http://other.org/", "2024-03-05 00:00:00", "r", None, "x", 2)]
+    c = spark.createDataFrame(rows, "id long, url string, fetched_at string, row string, entry string, x string, capture long").repartition(3)
+    changes = spark.createDataFrame([("hot.example.org", "block", "2024-03-05 09:00:00"), ("example.org", "review", "2024-01-01 00:00:00"), ("hot.example.org", None, "2024-03-06 00:00:00")], "entry string, action string, at string")
+    got = url_lists.filter_captures(c, changes)
+    assert got.columns == [*c.columns, "list_entry", "action"]
+    found = got.collect()
+    assert sorted(tuple(r)[:7] for r in found if r.id < 9000) == sorted(r for r in rows if r[0] < 9000)
+    assert all((r.list_entry, r.action) == (("hot.example.org", "block") if r.id < 9000 else (None, "keep")) for r in found) and len(found) == len(rows)
+    assert url_lists.filter_captures(c.limit(0), changes).collect() == []
+    assert {r.action for r in url_lists.filter_captures(c, changes.limit(0)).collect()} == {"keep"}
 
 
 def test_url_lists(spark):
