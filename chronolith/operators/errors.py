@@ -67,8 +67,15 @@ def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
 
 
 def correlations(df: DataFrame, features: list[str], target: str = "days_until_completion", n: int = 20) -> DataFrame:
-    """Pearson correlation with the target, pairs with a null left out: one aggregate, the n strongest."""
-    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features])
+    """Pearson correlation with the target, pairs with a null left out: one aggregate, the n strongest. A column without
+    spread has none."""
+
+    def pearson(c: str):
+        x, y = F.col(c).cast("double"), F.col(target).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))).alias(c)
+
+    one = df.agg(*[pearson(c) for c in features])
     long = one.unpivot([], features, "feature", "correlation").where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
     return long.orderBy(F.desc(F.abs("correlation")), "feature").limit(n)
 

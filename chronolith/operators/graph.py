@@ -5,34 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 
-def lineage(renames: DataFrame, max_doublings: int = 40) -> DataFrame:
+
+def lineage(renames: DataFrame) -> DataFrame:
     """renames(path, previous) -> (path, origin, depth) for every renamed path, by pointer doubling: a chain of n
-    renames takes log2(n) joins. A chain that runs in a circle raises."""
-    spark = renames.sparkSession
+    renames takes log2(n) joins, each cut to the checkpoint folder. A chain that runs in a circle raises, as no chain can
+    be longer than there are renames."""
+    renames = checkpointed(renames.select("path", "previous").distinct())
     now = renames.select("path", F.col("previous").alias("origin"), F.lit(1).cast("long").alias("depth"))
-    for _ in range(max_doublings):
-        n = now.alias("n").join(now.select(F.col("path").alias("p"), F.col("origin").alias("o"), F.col("depth").alias("d")), F.col("n.origin") == F.col("p"), "left")
-        now = n.select("path", F.coalesce("o", "origin").alias("origin"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"))
-        if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-            now = now.checkpoint()
-        if now.join(renames.select(F.col("path").alias("origin")), "origin", "left_semi").isEmpty():
+    for _ in range(renames.count().bit_length() + 1):
+        now, open_ends = _doubled(now), renames.select(F.col("path").alias("origin"))
+        if now.join(open_ends, "origin", "left_semi").isEmpty():
             return now
+        if not now.where(F.col("path").eqNullSafe(F.col("origin"))).isEmpty():
+            break
     raise ValueError("renames run in a circle")
 
 
+def _doubled(now: DataFrame) -> DataFrame:
+    """(path, origin, depth) -> the same with each origin's own origin, where it has one."""
+    ahead = now.select(F.col("path").alias("origin"), F.col("origin").alias("o"), F.col("depth").alias("d"))
+    n = now.join(ahead, "origin", "left")
+    return checkpointed(n.select("path", F.coalesce("o", "origin").alias("origin"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth")))
+
+
 def full_history(entries: DataFrame, renames: DataFrame) -> DataFrame:
-    """History entries of the latest paths, with those of every ancestor."""
+    """History entries of the latest paths, with those of every ancestor: reach and jumps double in step, so the longest
+    chain takes log2 of its length in joins."""
+    renames = checkpointed(renames.select("path", "previous").distinct())
     chain = lineage(renames)
     latest = chain.join(renames.select(F.col("previous").alias("path")), "path", "left_anti")
-    steps = renames.select("path", "previous")
-    walk = latest.select(F.col("path").alias("head"), F.col("path").alias("at"))
-    found = walk
     deepest = latest.agg(F.max("depth")).first()[0] or 0
-    for _ in range(deepest):
-        walk = walk.join(steps, F.col("at") == F.col("path")).select("head", F.col("previous").alias("at"))
-        found = found.unionByName(walk)
-    return entries.join(found, entries["path"] == found["at"]).drop("at").withColumn("path", F.col("head")).drop("head")
+    reach, jump = latest.select(F.col("path").alias("head"), F.col("path").alias("at")), renames.select(F.col("path").alias("at"), F.col("previous").alias("to"))
+    for k in range(deepest.bit_length()):
+        if k:
+            jump = checkpointed(jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("next")), "to").select("at", F.col("next").alias("to")))
+        reach = checkpointed(reach.unionByName(reach.join(jump, "at").select("head", F.col("to").alias("at"))))
+    return entries.join(reach, entries["path"] == reach["at"]).drop("at").withColumn("path", F.col("head")).drop("head")
 
 
 def cooccurrence(pairs: DataFrame) -> DataFrame:

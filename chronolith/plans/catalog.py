@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +13,9 @@ from ..operators import errors as E
 from ..operators import features as X
 from ..operators import graph as G
 from ..operators import labels as L
+from ..operators import registry
 from ..operators import splits as P
+from ..session import checkpointed, shared_folder
 from ..sources import history as H
 from ..sources import upserts as U
 from ..streaming import sync
@@ -70,14 +70,19 @@ def errors(spark, d) -> DataFrame:
 
 
 def modelled(spark, d) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
-    """Split feature rows of all generators with the model's columns, in total and by generator."""
-    df, groups, seen = facts(spark, d), {}, set(facts(spark, d).columns)
-    for name, add in (("CommitHistory", X.add_history), ("FilePath", X.add_path), ("FileSize", lambda x: X.add_ema(X.add_size(x))), ("LineChange", X.add_lines)):
-        df = add(df)
-        groups[name] = [c for c in df.columns if c not in seen]
+    """Split and scaled feature rows of all registered generators, one-hot columns included, with the model's columns, in
+    total and by generator. Scaling is fitted on the training rows; 0/1 columns stay as they are."""
+    df, flags, groups, seen = facts(spark, d), [], {}, set(facts(spark, d).columns)
+    for name in registry.names():
+        df, more = registry.apply(df, [name])
+        flags += more
+        groups[name] = [c for c in M.feature_columns(df, more) if c not in seen]
         seen |= set(df.columns)
     df = P.split_by_history(L.add_target(L.label(df, Q.AS_OF)))
-    return df, [c for cs in groups.values() for c in cs], groups
+    columns = [c for cs in groups.values() for c in cs]
+    plain = [c for c in columns if c not in flags]
+    df = checkpointed(df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in plain}))
+    return P.scale(df, P.fit_scaler(df.where("split = 'train'"), plain, exact=False), plain), columns, groups
 
 
 def rows_of(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -265,6 +270,15 @@ def feature_correlation(spark, d):
     return E.correlations(labelled(spark, d), list(_CORR)).withColumn("correlation", rd("correlation"))
 
 
+@query()
+def feature_correlation_all(spark, d):
+    """The 20 numeric features of all generators that go with the target most."""
+    df, flags = X.feature_frame(H.commit_facts(spark, d))
+    df = L.add_target(L.label(df, Q.AS_OF))
+    columns = M.feature_columns(df, flags)
+    return E.correlations(df.withColumns({c: F.col(c).cast("double") for c in columns}), columns).withColumn("correlation", rd("correlation"))
+
+
 # Splits and scaling
 
 
@@ -393,6 +407,15 @@ def upsert_overwrite(spark, d):
     return U.overwrite(o.where("sha % 3 <> 0"), o.where("sha % 2 = 0").select("sha", (F.col("who") + 1_000_000).alias("who")), "sha")
 
 
+@query("""WITH b AS (SELECT o_custkey AS who, o_orderkey AS seq, o_orderstatus AS status, o_orderpriority AS more FROM orders WHERE o_custkey % 2 = 0), l AS (SELECT who, arg_max(status, seq) AS status, arg_max(more, seq) AS more FROM b GROUP BY who)
+SELECT coalesce(c_custkey, who) AS who, coalesce(l.status, c_mktsegment) AS status, more FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c FULL JOIN l ON c_custkey = who""")
+def upsert_overwrite_repeated(spark, d):
+    """Batch keys repeat, the last by seq counts, and the batch has a field that the target lacks."""
+    target = H.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("who"), F.col("c_mktsegment").alias("status"))
+    batch = H.table(spark, d, "orders").where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("who"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("more"))
+    return U.overwrite(target, batch, "who", seq="seq")
+
+
 @query("SELECT DISTINCT l_orderkey + 1 AS sha FROM lineitem WHERE l_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
 def anti_missing(spark, d):
     want = H.table(spark, d, "lineitem").select((F.col("l_orderkey") + 1).alias("sha"))
@@ -550,6 +573,14 @@ def _fitted(spark, d, model="linear_regression"):
     return df, columns, groups, M.fit(df.where("split = 'train'"), columns, model)
 
 
+def _unscaled(spark, d):
+    """A model on the features as they are, for rows that no split holds."""
+    full, flags = X.feature_frame(H.commit_facts(spark, d))
+    df = checkpointed(P.split_by_history(L.add_target(L.label(full, Q.AS_OF))))
+    columns = M.feature_columns(df, flags)
+    return df, columns, M.fit(df.where("split = 'train'"), columns)
+
+
 @query()
 def importances(spark, d):
     _, columns, _, model = _fitted(spark, d, "random_forest")
@@ -565,8 +596,7 @@ def shap_linear(spark, d):
 @query()
 def shap_by_committer(spark, d):
     df, columns, _, model = _fitted(spark, d)
-    rows = X.add_committer(df, X.significant_committers(facts(spark, d)))
-    return M.contributions_by(M.linear_contributions(model, rows, columns, ("committer_grouped",)), "committer_grouped", columns)
+    return M.contributions_by(M.linear_contributions(model, df, columns, ("committer_grouped",)), "committer_grouped", columns)
 
 
 @query()
@@ -615,8 +645,8 @@ def learning_curve(spark, d):
 
 @query()
 def predict_unlabelled(spark, d):
-    df, columns, groups, model = _fitted(spark, d)
-    full = X.add_lines(X.add_ema(X.add_size(X.add_path(X.add_history(facts(spark, d))))))
+    df, columns, model = _unscaled(spark, d)
+    full, _ = X.feature_frame(H.commit_facts(spark, d))
     return M.predict_unlabelled(model, L.add_target(L.label(full, Q.AS_OF)), columns, latest_only=True)
 
 
@@ -636,8 +666,7 @@ def elbow(spark, d):
 
 
 def _scratch(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(top, f"chronolith-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/chronolith-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id AS sha, min(event_id) AS event_id FROM events GROUP BY user_id")
@@ -653,7 +682,6 @@ def stream_upsert(spark, d):
 def stream_activity(spark, d):
     e = H.table(spark, d, "events")
     stream = sync.landed(spark, d, e.schema, files="events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    name = f"activity_{uuid.uuid4().hex}"
-    q = sync.activity(stream, "ts", "event_type", lateness="60 days").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_scratch(spark)}/marks").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(us("start", "start_us"), "event_type", "n")
+    at = _scratch(spark)
+    sync.store_activity(sync.activity(stream, "ts", "event_type", lateness="60 days"), f"{at}/store", f"{at}/marks").awaitTermination()
+    return sync.newest(spark, f"{at}/store").select(us("start", "start_us"), "event_type", "n")

@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; in local mode, where none is set, one of this machine's."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        given = tempfile.mkdtemp(prefix="chronolith-")
+        spark.sparkContext.setCheckpointDir(given)
+    return given
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once, with no plan behind them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def build_session(app: str = "chronolith", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:

@@ -6,6 +6,7 @@ history.read_documents. This runs on the driver, before any Spark job.
 
 from __future__ import annotations
 
+import random
 import re
 import time
 from collections import deque
@@ -20,6 +21,10 @@ class Answer:
     headers: dict = field(default_factory=dict)
 
 
+#: What a 403 says that asks for a pause, the seconds to wait if it doesn't say how many, and what is added at random.
+SECONDARY, SECONDARY_WAIT, JITTER = "secondary rate limit", 60.0, (1.0, 5.0)
+
+
 class GaveUp(Exception):
     """A request that failed for good; status holds the last answer's."""
 
@@ -55,9 +60,13 @@ def next_link(headers: dict) -> str | None:
 
 def waits(answer: Answer, attempt: int, now: float) -> float | None:
     """Seconds until the next try, or None if the answer is final."""
-    left = answer.headers.get("X-RateLimit-Remaining")
-    if answer.status in (403, 429) and left == "0":
-        return max(0.0, float(answer.headers.get("X-RateLimit-Reset", now)) - now)
+    headers = {k.lower(): v for k, v in answer.headers.items()}
+    if answer.status == 403 and (SECONDARY in str(answer.body).lower() or "retry-after" in headers):
+        return float(headers.get("retry-after", SECONDARY_WAIT)) + JITTER[0] + (JITTER[1] - JITTER[0]) * random.random()
+    if answer.status in (403, 429) and headers.get("x-ratelimit-remaining") == "0":
+        return max(0.0, float(headers.get("x-ratelimit-reset", now)) - now)
+    if answer.status == 429 and "retry-after" in headers:
+        return float(headers["retry-after"])
     return 2.0**attempt if answer.status == 429 or answer.status >= 500 else None
 
 

@@ -15,11 +15,17 @@ def insert_absent(target: DataFrame, batch: DataFrame, key: str = "sha", order:
 
 
 def overwrite(target: DataFrame, batch: DataFrame, key: str = "path", seq: str | None = None) -> DataFrame:
-    """Sets the batch's non-null fields on equal keys and adds the others; the last of equal keys in a batch wins."""
-    if seq:
-        batch = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), seq).alias("r")).select("r.*").drop(seq)
+    """Sets the batch's non-null fields on equal keys and adds the others; the last of equal keys in a batch wins.
+
+    Last is by seq, which isn't stored; without it by the rows' own fields, so that a key never has two rows. Fields that
+    the target lacks are added to it.
+    """
+    rest = [c for c in batch.columns if c not in (key, seq)]
+    last = F.struct(F.coalesce(F.col(seq).isNotNull(), F.lit(False)), seq, *rest) if seq else F.struct(*rest)
+    batch = batch.groupBy(key).agg(F.max_by(F.struct(*rest), last).alias("r")).select(key, "r.*")
     t, b = target.alias("t"), batch.alias("b")
     kept = [F.coalesce(F.col(f"b.{c}"), F.col(f"t.{c}")).alias(c) if c in batch.columns else F.col(f"t.{c}") for c in target.columns]
+    kept += [F.col(f"b.{c}") for c in rest if c not in target.columns]
     return t.join(b, F.col(f"t.{key}") == F.col(f"b.{key}"), "full_outer").select(*kept)
 
 

@@ -113,7 +113,20 @@ def test_rename_chain_and_circle(spark):
     e = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a")], "path string, previous string")
     assert {(r.path, r.origin, r.depth) for r in G.lineage(e).collect()} == {("d", "a", 3), ("c", "a", 2), ("b", "a", 1)}
     with pytest.raises(ValueError):
-        G.lineage(spark.createDataFrame([("a", "b"), ("b", "a")], "path string, previous string"), 4)
+        G.lineage(spark.createDataFrame([("a", "b"), ("b", "a")], "path string, previous string"))
+    with pytest.raises(ValueError):
+        G.lineage(spark.createDataFrame([("x", "a"), ("a", "b"), ("b", "c"), ("c", "a")], "path string, previous string"))
+
+
+def test_a_long_chain_and_its_whole_history(spark):
+    from chronolith.operators import graph as G
+
+    chain = spark.createDataFrame([(i + 1, i) for i in range(37)] + [(37, 36), (101, 100)], "path long, previous long")
+    found = {r.path: (r.origin, r.depth) for r in G.lineage(chain).collect()}
+    assert found == {i: (0, i) for i in range(1, 38)} | {101: (100, 1)}
+    entries = spark.createDataFrame([(i, i * 10) for i in range(38)] + [(100, 1), (55, 5)], "path long, x long")
+    got = sorted((r.path, r.x) for r in G.full_history(entries, chain).collect())
+    assert got == sorted([(37, i * 10) for i in range(38)] + [(101, 1)])
 
 
 def test_content_status(spark):

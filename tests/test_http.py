@@ -55,3 +55,12 @@ def test_pages():
     assert list(pages("1", site.get, limit(c))) == [[1, 2], [3], [4]]
     assert list(pages("1", site.get, limit(c), known=lambda x: x == [3])) == [[1, 2]]
     assert next_link({}) is None and next_link({"Link": '<9>; rel="last"'}) is None
+
+
+def test_secondary_limits_wait_as_long_as_they_say():
+    c = Clock()
+    answers = [Answer(403, "You have exceeded a Secondary Rate Limit", {"retry-after": "7"}), Answer(403, {"message": "secondary rate limit"}), Answer(429, None, {"Retry-After": "3"}), Answer(200, 1)]
+    assert get("u", lambda u: answers.pop(0), limit(c), now=c).body == 1
+    assert 8 <= c.slept[0] <= 12 and 61 <= c.slept[1] <= 65 and c.slept[2] == 3
+    with pytest.raises(GaveUp):
+        get("u", lambda u: Answer(403, "not allowed"), limit(c), now=c)

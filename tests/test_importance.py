@@ -7,5 +7,6 @@ def test_permutation_importance_asks_for_all_columns(spark, small, monkeypatch):
     monkeypatch.setattr(catalog.M, "fit", lambda *a, **k: None)
     got = {r.feature for r in catalog.queries()["permutation_importance"](spark, small).collect()}
     _, columns, groups = catalog.modelled(spark, small)
+    assert any(c.startswith("ext_") for c in columns) and any(c.startswith("committer_") for c in columns)
     assert asked == columns and got == set(columns)
-    assert all(got & set(cs) for cs in groups.values()) and len(groups) == 4
+    assert all(got & set(cs) for cs in groups.values()) and len(groups) == 5
