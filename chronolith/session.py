@@ -35,6 +35,7 @@ def build_session(app: str = "chronolith", master: str | None = None, shuffle_pa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go when nothing refers to them
         "spark.ui.showConsoleProgress": "false",
     } | conf
     for k, v in settings.items():
