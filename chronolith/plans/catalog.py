@@ -229,13 +229,6 @@ def committer_features(spark, d):
     return df.select("ord", "path", "committer_grouped", "committer_other")
 
 
-@query()
-def feature_frame(spark, d):
-    """All generators together, with the fitted one-hot columns, labels and filled nulls."""
-    df, _ = X.feature_frame(H.commit_facts(spark, d))
-    return X.filled(L.add_target(L.label(df, Q.AS_OF)))
-
-
 # Labels
 
 
@@ -244,6 +237,30 @@ def labels(spark, d):
     return labelled(spark, d).select("ord", "path", us("completion_date", "completion_us"), "completion_reason", "days_until_completion")
 
 
+#: Places to which doubles of the whole frame are rounded, as in the queries of its parts.
+_PLACES = {
+    "commits_ratio_30d": 6, "commits_ratio_90d": 6, "recent_commit_activity_surge": 6, "std_commit_interval": 5, "avg_commit_interval": 6, "commits_per_day_so_far": 6,
+    "cumulative_size": 6, "cumulative_mean_size": 4, "cumulative_std_size": 3, "rolling_7_mean_size": 4, "rolling_7_std_size": 3, "percentage_change_size": 6,
+    "recent_growth_ratio": 3, "ema_7_size": 4, "add_ratio": 6,
+}
+_SEVERAL = ", ".join(f"coalesce({c}, 0) AS {c}" for c in (
+    "lines_added", "lines_deleted", "line_change", "commit_num", "commits_last_30d", "commits_last_90d", "commit_interval_days", "max_commit_interval_to_date", "is_first_commit", "age_in_days", "weekday", "month",
+    "path_depth", *X.PATH_FLAGS, "size", "size_diff", "rolling_7_max_size", "rolling_7_min_size", "rolling_7_median_size", *[f"lag_{k}_size" for k in range(1, 6)],
+    "pure_addition", "pure_deletion", "cum_lines_added", "cum_lines_deleted", "cum_line_change", "cum_pure_addition", "cum_pure_deletion", *_PLACES,
+))
+_PARTS = ("history_features", "path_features", "path_onehot", "size_features", "size_ema", "line_features", "committer_features", "labels")
+
+
+@query(f"""SELECT ord, commits.path, commits.date_us, {_SEVERAL}, COLUMNS('^ext_(JSON|js|md|no_ext|py|yml)$'), committer_grouped,
+{", ".join(f"committer_grouped = '{c}' AS committer_{c}" for c in ("1_URGENT", "2_HIGH", "3_MEDIUM", "4_NOT_SPECIFIED", "5_LOW"))}, committer_other, completion_us, completion_reason, days_until_completion
+FROM (SELECT * EXCLUDE (size) FROM ({_sql["commit_fact"]})) AS commits {" ".join(f"JOIN (SELECT * EXCLUDE ({'path, date_us' if n == 'history_features' else 'path'}) FROM ({_sql[n]})) AS {n} USING (ord)" if n != "path_onehot" else f"JOIN ({_sql[n]}) AS {n} USING (ord)" for n in _PARTS)}""")
+def feature_frame(spark, d):
+    """All generators together, with the fitted one-hot columns, labels and filled nulls."""
+    df, _ = X.feature_frame(H.commit_facts(spark, d))
+    df = X.filled(L.add_target(L.label(df, Q.AS_OF)))
+    return df.select(us(), us("completion_date", "completion_us"), *[rd(c, _PLACES[c]).alias(c) if c in _PLACES else c for c in df.columns if c not in ("date", "completion_date")])
+
+
 @query(f"WITH {Q.labels('events', Q.AS_OF_EVENTS)} SELECT ord, path, epoch_us(completion_date) AS completion_us, completion_reason, days_until_completion FROM lab")
 def labels_subday(spark, d):
     return labelled(spark, d, "events", Q.AS_OF_EVENTS).select("ord", "path", us("completion_date", "completion_us"), "completion_reason", "days_until_completion")
