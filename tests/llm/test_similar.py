@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from chronolith.llm import simhash
+from chronolith.llm import similar, simhash
 
 from .fixtures import prose
 
@@ -57,3 +57,26 @@ def test_repeated_and_null_ids(spark):
     rows = [(1, a), (1, b), (1, b), (2, a), (None, b), (None, c), (None, c)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, a), (1, b), (None, c)]))
+
+
+def test_keys_in_parts_as_whole_keys(spark, monkeypatch):
+    rnd = random.Random(17)
+    line = prose(rnd, 30).split()
+    texts = []
+    for _ in range(30):  # one key for all, of many components
+        base = line + prose(rnd, rnd.randint(60, 70)).split()
+        for changes in (0, 1, 2, 5):
+            w = list(base)
+            for at in rnd.sample(range(len(line), len(w)), changes):
+                w[at] = "changed"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    each = similar.described(docs).where("wide is not null").select("c", "n", *similar.BITS)
+    met = each.selectExpr("7L as key", "c", "c as comp", "n", *similar.BITS, f"{len(texts)}L as classes").checkpoint()
+    whole = {tuple(r) for r in similar.across(met).collect()}
+    monkeypatch.setattr(similar, "BLOCK", 9)
+    assert whole and {tuple(r) for r in similar.across(met).collect()} == whole
+    root, least = groups(texts), {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == sorted(least.values())
