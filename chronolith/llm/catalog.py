@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, packing, quality_rules, quality_votes, repeats, sharding, simhash, topk, url_lists
+from . import bpe, lexical, licences, packing, periodic, phrases, quality_rules, quality_votes, repeats, sharding, simhash, topk, url_lists
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_url_lists": url_lists.op9_url_lists,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_lexical": lexical.op11_lexical,
+        "op12_phrases": phrases.op12_phrases,
+        "op13_periodic": periodic.op13_periodic,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": topk.ORACLE_TOPK, "op9_url_lists": url_lists.ORACLE}
+    return {"op3_topk": topk.ORACLE_TOPK, "op9_url_lists": url_lists.ORACLE, "op11_lexical": lexical.ORACLE, "op12_phrases": phrases.ORACLE}

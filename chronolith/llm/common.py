@@ -71,11 +71,11 @@ def small_join(df: DataFrame, few: DataFrame, on: list[str], how: str = "inner")
     return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str | list[str], how: str = "inner", by_place: bool = False) -> DataFrame:
     """many joined with one (a row per key): rows of the commonest keys of many are dealt over COPIES copies of one's row.
 
     The HEAVY_KEYS commonest keys, a bounded table, are known to both sides; no other key can have over a HEAVY_KEYS-th
-    of the rows.
+    of the rows. Rows are dealt by what else they hold, or by their place, which parts equal rows too.
     """
     key = [key] if isinstance(key, str) else key
     counts = many.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= HEAVY_LEAST)
@@ -83,7 +83,7 @@ def salted_join(many: DataFrame, one: DataFrame, key: str | list[str], how: str
     if heavy.isEmpty():
         return many.join(one, key, how)
     rest = [c for c in many.columns if c not in key]
-    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*rest), F.lit(COPIES)).cast("int")).otherwise(F.lit(0))
+    salt = F.when(F.col("_heavy"), F.pmod(F.monotonically_increasing_id() if by_place else F.xxhash64(*rest), F.lit(COPIES)).cast("int")).otherwise(F.lit(0))
     left = many.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt).drop("_heavy")
     copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
     right = one.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
