@@ -5,13 +5,14 @@ A word goes if a WINDOW-word window that covers it also starts in a document wit
 1. Anchors. Of every window the GRAM-word piece with the least hash is its anchor, so equal windows have equal anchors;
    about one word in five starts one. An anchor's context is the stretch of the windows that have it. Anchors meet by
    hash, one entry per batch of texts, and those of several documents recur; only their contexts can hold a repeat.
-2. Passages are the recurring contexts of a document, joined where they touch. Of a bounded unit of passages, windows
-   that a later document has too are confirmed by their words, compiled into an Aho-Corasick automaton (a letter a
-   word) with the first document of each, and all passages of the unit are streamed through it: every occurrence in a
-   later document is found. What a unit leaves open goes on to the shards, so of many copies a row a unit goes on.
-3. Shards. Contexts meet by their anchor and sorted by document; each bounded run of anchors is a unit again, with an
-   automaton of its own. Contexts of an anchor that over HOT places have meet by the hash of each window instead, so
-   that no unit needs all of them.
+2. Passages are the recurring contexts of a document, joined where they touch. They meet by their least anchor, so
+   copies and near copies do, in bounded units. Of a unit, windows that a later document has too are confirmed by their
+   words, compiled into an Aho-Corasick automaton (a letter a word) with the first document of each, and all passages
+   of the unit are streamed through it: every occurrence in a later document is found. Equal passages of one batch of
+   texts are settled the same way before the shuffle, so of many copies a row a batch goes on.
+3. Shards. What a unit leaves open meets by anchor, context by context, sorted by document; each bounded run of anchors
+   is a unit again, with an automaton of its own. Contexts of an anchor that over HOT places have meet by the hash of
+   each window instead, so that no unit needs all of them.
 
 So each automaton is bounded, each document is streamed through those shards only that can hold a phrase of its own, and
 hashes choose where words are compared, but never decide.
@@ -41,6 +42,7 @@ WINDOW, GRAM = 13, 5
 BATCH = 8 << 20  # bytes of text whose anchors are combined before the shuffle
 UNIT = 200_000  # words whose windows one automaton is made of
 HOT = 4096  # places of an anchor beyond which windows meet by their own hash
+SALTS = 64  # parts over which passages with a crowded least anchor are dealt
 SPREAD = 4  # hash ranges a task takes in turn
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -186,14 +188,22 @@ def recurring(places: DataFrame, hot: int, spots: int) -> DataFrame:
     return places.repartition(spots // SPREAD, "spot").sortWithinPartitions("spot").mapInArrow(run, FOUND_SQL)
 
 
+class Letters(dict):
+    """A letter for each word as it comes, surrogates left out."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        self[word] = letter = chr(n if n < 0xD800 else n + 0x800)
+        return letter
+
+
 Passage = tuple[int, list[bytes]]  # doc_id, words
 
 
 def located(passages: list[Passage]) -> list[list[int]]:
     """Of each passage (sorted by doc_id) the starts of its windows that a passage of a smaller doc_id has too."""
-    letters: dict[bytes, str] = {}
-    code = lambda w: letters.get(w) or letters.setdefault(w, chr(len(letters) + (1 if len(letters) < 0xD7FF else 0x801)))  # noqa: E731  no surrogates
-    lines = ["".join(map(code, words)) for _, words in passages]
+    letters = Letters()
+    lines = ["".join(map(letters.__getitem__, words)) for _, words in passages]
     first: dict[str, int] = {}
     confirmed: dict[str, int] = {}
     for (doc, _), line in zip(passages, lines, strict=True):
@@ -209,12 +219,32 @@ def located(passages: list[Passage]) -> list[list[int]]:
     return [[end - WINDOW + 1 for end, own in automaton.iter(line) if own < doc] for (doc, _), line in zip(passages, lines, strict=True)]
 
 
-ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("last", pa.int64()), ("words", pa.binary())])
-ROWS_SQL = "key long, doc_id long, part int, start long, last long, words binary"
+def joined(starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Rising starts of windows as spans of words."""
+    at = end = None
+    for s in starts:
+        if end is None or s > end:
+            if end is not None:
+                yield at, end
+            at = s
+        end = s + WINDOW
+    if end is not None:
+        yield at, end
+
+
+ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("last", pa.int64()), ("words", pa.binary()), ("odd", pa.binary())])
+ROWS_SQL = "key long, doc_id long, part int, start long, last long, words binary, odd binary"
+
+
+def known_rows(spans: list[tuple]) -> pa.RecordBatch:
+    """Covered spans (doc_id, part, start, last) as rows without words, spread by document."""
+    c = list(zip(*spans, strict=True)) if spans else [[]] * 4
+    key = mixed(np.array(c[0], np.int64).view(np.uint64)).view(np.int64)
+    return rows_out(ROWS, (key, *c, pa.nulls(len(key), pa.binary()), pa.nulls(len(key), pa.binary())))
 
 
 def own_contexts(split: Split, asked: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (odd: windows meet by their own), first word and end of the contexts whose anchors were asked for."""
+    """Hash (odd: of a crowded anchor), first word and end of the contexts whose anchors were asked for."""
     h, first, last = split.anchors()
     size = np.array([len(a) for a in asked], np.int64)
     if not len(h) or not size.sum():
@@ -231,9 +261,10 @@ def own_contexts(split: Split, asked: list[list[int]]) -> tuple[np.ndarray, np.n
     return h[hit] | odd[at[hit]], first[hit], last[hit]
 
 
-def in_units(texts: DataFrame, unit: int = UNIT) -> DataFrame:
-    """texts(doc_id, part, text, asked): spans of words that a smaller document of the same unit has too (words null, key
-    from the document), and the contexts that are still open."""
+def passages(texts: DataFrame, unit: int = UNIT) -> DataFrame:
+    """texts(doc_id, part, text, asked) -> passages of at most `unit` words, keyed by their least anchor so that like ones
+    meet (dealt out, where that is crowded), with their crowded anchors in odd. Of passages that a batch has again those
+    of the first document go on, and spans of the others (words null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -246,74 +277,128 @@ def in_units(texts: DataFrame, unit: int = UNIT) -> DataFrame:
                 before = (doc, part)
             texts, asked = (b.column(c).take(pa.array(fresh)).to_pylist() for c in ("text", "asked"))
             split = Split(texts)
-            key, first, last = own_contexts(split, asked)
-            if not len(key):
+            h, first, last = own_contexts(split, asked)
+            if not len(h):
                 continue
-            windows = split.grams(WINDOW)
             _, start, end = merged(split.text[first], first, last)
-            todo = []  # pieces of passages
+            found = []  # document, first word, end, words
             for a, z in zip(start.tolist(), end.tolist(), strict=True):
-                todo += [(docs[split.text[a]], x, min(x + unit, z)) for x in range(a, max(z - WINDOW + 1, a + 1), unit - WINDOW + 1)]
-            todo.sort(key=lambda x: x[0])
-            gone = np.zeros(len(windows), bool)  # windows that a smaller document has
-            at = 0
-            while at < len(todo):
-                n, to = 0, at
-                while to < len(todo) and (to == at or n + todo[to][2] - todo[to][1] <= unit):
-                    n += todo[to][2] - todo[to][1]
-                    to += 1
-                for (_, x, _), found in zip(todo[at:to], located([(doc, split.words(x, z)) for (doc, _), x, z in todo[at:to]]), strict=True):
-                    gone[x + np.array(found, np.int64)] = True
-                at = to
-            hit = np.flatnonzero(gone)
-            t, s, e = merged(split.text[hit], hit, hit + WINDOW)
-            ids, parts = (np.array([d[i] for d in docs], np.int64) for i in (0, 1))
-            base = split.first[t]
-            yield rows_out(ROWS, (mixed(ids[t].astype(np.uint64)).view(np.int64), ids[t], parts[t].astype(np.int32), s - base, e - base, pa.nulls(len(t), pa.binary())))
-            # What is left: whole contexts, or single windows where they meet by their own hash.
-            odd = (key & np.uint64(1)).astype(bool)
-            single = ragged(first[odd], last[odd] - first[odd] - WINDOW + 1)
-            single = single[~gone[single]]
-            total = np.r_[0, np.cumsum(~gone)]
-            open_ = ~odd & (total[last - WINDOW + 1] > total[first])
-            key = np.r_[key[open_], windows[single] | np.uint64(1)]
-            first, last = np.r_[first[open_], single], np.r_[last[open_], single + WINDOW]
-            t = split.text[first]
-            words = [b" ".join(split.words(x, z)) for x, z in zip(first.tolist(), last.tolist(), strict=True)]
-            yield rows_out(ROWS, (key.view(np.int64), ids[t], parts[t].astype(np.int32), first - split.first[t], last - split.first[t], pa.array(words, pa.binary())))
+                for x in range(a, max(z - WINDOW + 1, a + 1), unit - WINDOW + 1):
+                    y = min(x + unit, z)
+                    found.append((docs[split.text[a]], x, y, b" ".join(split.words(x, y))))
+            found.sort(key=lambda r: r[0])
+            groups: dict[bytes, list[int]] = {}
+            for i, r in enumerate(found):
+                groups.setdefault(r[3], []).append(i)
+            spans, rows = [], []
+            for words, group in groups.items():
+                if found[group[0]][0][0] != found[group[-1]][0][0]:  # a few words at a time: one automaton a repeated passage
+                    for i, starts in zip(group, located([(found[i][0][0], words.split()) for i in group]), strict=True):
+                        (doc, part), x, _, _ = found[i]
+                        base = split.first[split.text[x]]
+                        spans += [(doc, part, x - base + s, x - base + e) for s, e in joined(starts)]
+                for i in group:
+                    (doc, part), x, y, _ = found[i]
+                    if doc != found[group[0]][0][0]:
+                        break
+                    own = h[np.searchsorted(last, x + WINDOW) : np.searchsorted(first, y - WINDOW, "right")]  # of its windows
+                    key, base = int(own.min()), split.first[split.text[x]]
+                    if key & 1:
+                        key = int(mixed(np.array([key + (doc % SALTS)], np.uint64))[0])
+                    crowded = own[(own & np.uint64(1)).astype(bool)]
+                    rows.append((key - (1 << 64) if key >> 63 else key, doc, part, x - base, y - base, words, crowded.tobytes()))
+            yield known_rows(spans)
+            yield rows_out(ROWS, zip(*rows, strict=True))
 
     return texts.mapInArrow(run, ROWS_SQL)
 
 
+def in_units(rows: DataFrame, unit: int = UNIT) -> DataFrame:
+    """Passages sorted by key, in units: spans that a smaller document of the same unit has too (words null), and the
+    contexts that are still open, keyed by their anchor, or windows by their own hash where the anchor is crowded."""
+
+    def resolved(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        held.sort(key=lambda r: r[1:4])
+        found = located([(r[1], r[4].split()) for r in held])
+        yield known_rows([(doc, part, at + s, at + e) for (_, doc, part, at, _, _), starts in zip(held, found, strict=True) for s, e in joined(starts)])
+        split = Split([r[4] for r in held])
+        key, first, last = split.anchors()
+        if not len(key):
+            return
+        windows = split.grams(WINDOW)
+        gone = np.zeros(len(windows), bool)
+        for x, starts in zip(split.first.tolist(), found, strict=False):
+            gone[x + np.array(starts, np.int64)] = True
+        crowded = np.unique(np.frombuffer(b"".join(r[5] for r in held), np.uint64)) & ~np.uint64(1)
+        odd = np.isin(key, crowded)
+        single = ragged(first[odd], last[odd] - first[odd] - WINDOW + 1)
+        single = single[~gone[single]]
+        total = np.r_[0, np.cumsum(~gone)]
+        open_ = ~odd & (total[last - WINDOW + 1] > total[first])
+        key = np.r_[key[open_], windows[single] | np.uint64(1)]
+        first, last = np.r_[first[open_], single], np.r_[last[open_], single + WINDOW]
+        t = split.text[first]
+        doc, part, at = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[1:4])
+        words = [split.raw[x:y] for x, y in zip(split.start[first].tolist(), split.end[last - 1].tolist(), strict=True)]
+        base = at[t] - split.first[t]
+        yield rows_out(ROWS, (key.view(np.int64), doc[t], part[t].astype(np.int32), first + base, last + base, pa.array(words, pa.binary()), pa.nulls(len(t), pa.binary())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            known = np.flatnonzero(b.column("words").is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(known)) for c in ROWS.names], schema=ROWS)
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "part", "start", "words", "odd", "last")), strict=True):
+                if row[4] is not None:
+                    held.append(row[:6])
+                    size += row[6] - row[3]
+                    if size >= unit:
+                        yield from resolved(held)
+                        held, size = [], 0
+        if held:
+            yield from resolved(held)
+        tidy()
+
+    n = shuffle_partitions(rows.sparkSession)
+    return rows.repartition(n, "key").sortWithinPartitions("key", "doc_id", "part", "start").mapInArrow(run, ROWS_SQL)
+
+
 SPANS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("last", pa.int64())])
 
 
 def in_shards(rows: DataFrame, unit: int = UNIT) -> DataFrame:
     """Covered spans (doc_id, part, start, last) of words, known ones and those found where contexts of all documents meet.
 
-    Rows come sorted by key and document. A unit ends between keys, or inside a key that is itself a unit; of such a
-    one the first row of every distinct context stays for the next unit, so no occurrence misses it.
+    Rows come sorted by key and document; keys of one document alone need no look. A unit ends between keys, or inside a
+    key that is itself a unit; of such a one the first row of every distinct context stays for the next unit, so no
+    occurrence misses it.
     """
 
-    def spans(unit_rows: list[tuple]) -> pa.RecordBatch:
-        unit_rows.sort(key=lambda r: r[1:4])
+    def spans(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda r: r[1:4])
         out = []
-        for (_, doc, part, at, _), found in zip(unit_rows, located([(r[1], r[4].split()) for r in unit_rows]), strict=True):
-            if found:
-                s = at + np.array(found, np.int64)
-                new = np.r_[True, s[1:] > s[:-1] + WINDOW]
-                ends = np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]
-                out += [(doc, part, x, y) for x, y in zip(s[new].tolist(), (s[ends] + WINDOW).tolist(), strict=True)]
+        for (_, doc, part, at, _), starts in zip(held, located([(r[1], r[4].split()) for r in held]), strict=True):
+            if starts:
+                out += [(doc, part, at + s, at + e) for s, e in joined(starts)]
         return rows_out(SPANS, zip(*out, strict=True) if out else [[]] * 4)
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Rows with words, without keys that surely have one document: whole in a batch, all rows of one document."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, doc = (b.column(c).to_numpy() for c in ("key", "doc_id"))
+            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            lone = np.maximum.reduceat(doc, head) == np.minimum.reduceat(doc, head)
+            lone[0] = lone[-1] = False  # these may go on in another batch
+            take = np.repeat(~lone, np.diff(np.r_[head, len(key)])) & ~b.column("words").is_null().to_numpy(zero_copy_only=False)
+            at = pa.array(np.flatnonzero(take))
+            yield list(zip(*(b.column(c).take(at).to_pylist() for c in ("key", "doc_id", "part", "start", "words")), strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, start = [], 0, 0  # rows of the unit, their words (about), the first of the last key
-        for b in batches:
-            known = np.flatnonzero(b.column("words").is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(known)) for c in SPANS.names], schema=SPANS)
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "part", "start", "words")), strict=True):
-                if row[4] is None:
-                    continue
+        for found in shared(batches):
+            for row in found:
                 if held and row[0] != held[-1][0]:
                     if size >= unit:
                         yield spans(held)
@@ -333,7 +418,9 @@ def in_shards(rows: DataFrame, unit: int = UNIT) -> DataFrame:
         tidy()
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "doc_id", "part", "start").mapInArrow(run, "doc_id long, part int, start long, last long")
+    known, open_ = rows.where("words is null").select(*SPANS.names), rows.where("words is not null").select("key", "doc_id", "part", "start", "words")
+    met = open_.repartition(n, "key").sortWithinPartitions("key", "doc_id", "part", "start").mapInArrow(run, "doc_id long, part int, start long, last long")
+    return known.unionByName(met)
 
 
 def covered_spans(texts: DataFrame, hot: int = HOT, unit: int = UNIT) -> DataFrame:
@@ -345,7 +432,11 @@ def covered_spans(texts: DataFrame, hot: int = HOT, unit: int = UNIT) -> DataFra
     crowded = cut(found.where(F.col("kind") == CROWDED).select("hash", F.lit(1).cast("long").alias("odd")))
     asked = small_join(found.where(F.col("kind") == RECURS).select("hash", "doc_id", "part"), crowded, ["hash"], "left")
     asked = asked.groupBy("doc_id", "part").agg(F.collect_list(F.col("hash") + F.coalesce("odd", F.lit(0).cast("long"))).alias("asked"))  # at most one word in five of a text
-    spans = cut(in_shards(in_units(salted_join(texts, asked, ["doc_id", "part"], by_place=True).select("doc_id", "part", "text", "asked"), unit), unit))
+    found = cut(passages(salted_join(texts, asked, ["doc_id", "part"], by_place=True).select("doc_id", "part", "text", "asked"), unit))
+    release(spark)
+    found = cut(in_units(found, unit))
+    release(spark)
+    spans = cut(in_shards(found, unit))
     release(spark)
     return spans
 
