@@ -315,7 +315,8 @@ def passages(texts: DataFrame, unit: int = UNIT) -> DataFrame:
 
 def in_units(rows: DataFrame, unit: int = UNIT) -> DataFrame:
     """Passages sorted by key, in units: spans that a smaller document of the same unit has too (words null), and the
-    contexts that are still open, keyed by their anchor, or windows by their own hash where the anchor is crowded."""
+    contexts that are still open, keyed by their anchor, or windows by their own hash where the anchor is crowded (odd: all
+    their places in the document)."""
 
     def resolved(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda r: r[1:4])
@@ -335,13 +336,21 @@ def in_units(rows: DataFrame, unit: int = UNIT) -> DataFrame:
         single = single[~gone[single]]
         total = np.r_[0, np.cumsum(~gone)]
         open_ = ~odd & (total[last - WINDOW + 1] > total[first])
-        key = np.r_[key[open_], windows[single] | np.uint64(1)]
-        first, last = np.r_[first[open_], single], np.r_[last[open_], single + WINDOW]
-        t = split.text[first]
         doc, part, at = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[1:4])
-        words = [split.raw[x:y] for x, y in zip(split.start[first].tolist(), split.end[last - 1].tolist(), strict=True)]
-        base = at[t] - split.first[t]
-        yield rows_out(ROWS, (key.view(np.int64), doc[t], part[t].astype(np.int32), first + base, last + base, pa.array(words, pa.binary()), pa.nulls(len(t), pa.binary())))
+        base = at - split.first[:-1]  # from a word's place in the unit to that in its document
+        words = lambda x, y: split.raw[split.start[x] : split.end[y - 1]]
+        key, first, last = key[open_], first[open_], last[open_]
+        t = split.text[first]
+        texts = [words(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+        yield rows_out(ROWS, (key.view(np.int64), doc[t], part[t].astype(np.int32), first + base[t], last + base[t], pa.array(texts, pa.binary()), pa.nulls(len(t), pa.binary())))
+        # A window that a document has many times is one row, with all its places.
+        places: dict[tuple[int, int, bytes], list[int]] = {}
+        for x, k in zip(single.tolist(), split.text[single].tolist(), strict=True):
+            places.setdefault((held[k][1], held[k][2], words(x, x + WINDOW)), []).append(x)
+        rows = [(int(windows[x[0]] | np.uint64(1)), d, p, int(x[0] + base[split.text[x[0]]]), w, (np.array(x) + base[split.text[x]]).astype(np.int64).tobytes()) for (d, p, w), x in places.items()]
+        if rows:
+            key, d, p, at, w, x = zip(*rows, strict=True)
+            yield rows_out(ROWS, (np.array(key, np.uint64).view(np.int64), d, p, at, np.array(at) + WINDOW, w, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -377,8 +386,10 @@ def in_shards(rows: DataFrame, unit: int = UNIT) -> DataFrame:
     def spans(held: list[tuple]) -> pa.RecordBatch:
         held.sort(key=lambda r: r[1:4])
         out = []
-        for (_, doc, part, at, _), starts in zip(held, located([(r[1], r[4].split()) for r in held]), strict=True):
-            if starts:
+        for (_, doc, part, at, _, places), starts in zip(held, located([(r[1], r[4].split()) for r in held]), strict=True):
+            if starts and places is not None:  # one window, wherever the document has it
+                out += [(doc, part, s, e) for s, e in joined(np.frombuffer(places, np.int64).tolist())]
+            elif starts:
                 out += [(doc, part, at + s, at + e) for s, e in joined(starts)]
         return rows_out(SPANS, zip(*out, strict=True) if out else [[]] * 4)
 
@@ -393,7 +404,7 @@ def in_shards(rows: DataFrame, unit: int = UNIT) -> DataFrame:
             lone[0] = lone[-1] = False  # these may go on in another batch
             take = np.repeat(~lone, np.diff(np.r_[head, len(key)])) & ~b.column("words").is_null().to_numpy(zero_copy_only=False)
             at = pa.array(np.flatnonzero(take))
-            yield list(zip(*(b.column(c).take(at).to_pylist() for c in ("key", "doc_id", "part", "start", "words")), strict=True))
+            yield list(zip(*(b.column(c).take(at).to_pylist() for c in ("key", "doc_id", "part", "start", "words", "odd")), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, start = [], 0, 0  # rows of the unit, their words (about), the first of the last key
@@ -418,7 +429,7 @@ def in_shards(rows: DataFrame, unit: int = UNIT) -> DataFrame:
         tidy()
 
     n = shuffle_partitions(rows.sparkSession)
-    known, open_ = rows.where("words is null").select(*SPANS.names), rows.where("words is not null").select("key", "doc_id", "part", "start", "words")
+    known, open_ = rows.where("words is null").select(*SPANS.names), rows.where("words is not null").select("key", "doc_id", "part", "start", "words", "odd")
     met = open_.repartition(n, "key").sortWithinPartitions("key", "doc_id", "part", "start").mapInArrow(run, "doc_id long, part int, start long, last long")
     return known.unionByName(met)
 
