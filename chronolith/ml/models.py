@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -15,23 +12,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..operators.errors import error_frame, metrics
+from ..operators.errors import error_frame, extremes, metrics
+from ..operators.splits import curve_folds, group_places, group_windows, time_folds
 from ..schema import NOT_FEATURES
+from ..session import checkpointed
+from . import trees as TR
+from .boosting import Boosted, Params, fit_boosted
+from .tuning import Number, Space, Trial, best, search
 
 _GBT = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5, "seed": 42}
-#: Estimators by name. Where a boosting library is asked for that isn't installed, gradient-boosted trees of Spark stand in.
+#: Estimators of Spark by name.
 MODELS = {
     "linear_regression": lambda **p: LinearRegression(**({"regParam": 0.0, "solver": "normal"} | p)),
     "random_forest": lambda **p: RandomForestRegressor(**({"numTrees": 20, "maxDepth": 6, "seed": 42} | p)),
     "gradient_boosting": lambda **p: GBTRegressor(**(_GBT | p)),
-    "xgboost": lambda **p: GBTRegressor(**(_GBT | {"subsamplingRate": 0.8} | p)),
-    "lightgbm": lambda **p: GBTRegressor(**(_GBT | {"lossType": "absolute"} | p)),
 }
-SPACES = {
-    "random_forest": {"numTrees": [10, 20, 40], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 5], "featureSubsetStrategy": ["auto", "sqrt", "log2"]},
-    "gradient_boosting": {"maxIter": [10, 20, 30], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5], "subsamplingRate": [0.7, 1.0]},
+#: Boosting by gradients and Hessians: by level, and by leaf with the absolute loss.
+BOOSTED = {
+    "xgboost": {"learning_rate": 0.3, "max_depth": 5},
+    "lightgbm": {"learning_rate": 0.1, "max_depth": 12, "leaves": 31, "min_child_samples": 20, "absolute": True},
+}
+SPACES: dict[str, Space] = {
+    "random_forest": {"numTrees": Number(10, 40, whole=True), "maxDepth": Number(5, 10, whole=True), "minInstancesPerNode": Number(1, 10, whole=True), "featureSubsetStrategy": ("sqrt", "log2", "0.3", "0.5", "0.75"), "bootstrap": (True, False), "minInfoGain": Number(0.0, 0.2), "subsamplingRate": Number(0.5, 1.0)},
+    "gradient_boosting": {"maxIter": Number(5, 20, whole=True), "stepSize": Number(0.01, 0.3, log=True), "maxDepth": Number(3, 8, whole=True), "minInstancesPerNode": Number(1, 20, whole=True), "subsamplingRate": Number(0.6, 1.0)},
+    "xgboost": {"n_estimators": Number(4, 16, whole=True), "learning_rate": Number(0.01, 0.3, log=True), "max_depth": Number(3, 10, whole=True), "subsample": Number(0.6, 1.0), "colsample_bytree": Number(0.6, 1.0), "reg_alpha": Number(1e-8, 1.0, log=True), "reg_lambda": Number(1e-8, 1.0, log=True), "gamma": Number(1e-8, 1.0, log=True), "min_child_weight": Number(1, 10, whole=True)},
+    "lightgbm": {"n_estimators": Number(4, 16, whole=True), "learning_rate": Number(0.01, 0.1, log=True), "leaves": Number(8, 64, whole=True), "min_child_samples": Number(5, 100, whole=True), "min_child_weight": Number(1e-3, 10.0, log=True), "gamma": Number(0.0, 0.3), "subsample": Number(0.5, 1.0), "colsample_bytree": Number(0.5, 1.0), "reg_alpha": Number(1e-8, 10.0, log=True), "reg_lambda": Number(1e-8, 10.0, log=True)},
+    "linear_regression": {"regParam": Number(1e-4, 1.0, log=True)},
 }
-SPACES |= {"xgboost": SPACES["gradient_boosting"], "lightgbm": SPACES["gradient_boosting"], "linear_regression": {"regParam": [0.0, 0.01, 0.1]}}
 
 
 def feature_columns(df: DataFrame, flags: list[str] = ()) -> list[str]:
@@ -44,7 +51,9 @@ def prepared(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns} | {"label": S.log_target(F.col("days_until_completion"))})
 
 
-def fit(train: DataFrame, columns: list[str], model: str = "linear_regression", **params) -> PipelineModel:
+def fit(train: DataFrame, columns: list[str], model: str = "linear_regression", **params) -> PipelineModel | Boosted:
+    if model in BOOSTED:
+        return fit_boosted(prepared(train, columns), columns, "label", Params(**(BOOSTED[model] | params)))
     stages = [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), MODELS[model](**params).setFeaturesCol("features").setLabelCol("label").setPredictionCol("pred_log")]
     return Pipeline(stages=stages).fit(prepared(train, columns))
 
@@ -63,39 +72,48 @@ def importances(model: PipelineModel, columns: list[str], n: int = 20) -> list[t
     return sorted(zip(columns, found.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:n]
 
 
-def with_folds(train: DataFrame, k: int, grouped: bool) -> DataFrame:
-    """fold 0..k: grouped by path hash, or by time rank within each path; fold f is tested on what lies before it."""
-    if grouped:
-        return train.withColumn("fold", F.pmod(F.xxhash64("path"), F.lit(k + 1)).cast("int"))
-    return train.withColumn("fold", F.expr(f"cast(ntile({k + 1}) over (partition by path order by date, ord) - 1 as int)"))
+def fold_pairs(train: DataFrame, k: int, grouped: bool) -> list[tuple[DataFrame, DataFrame]]:
+    """k pairs of training and test rows, tests later than training: windows over paths by their first commit, or growing
+    stretches of all rows by time."""
+    if not grouped:
+        rows = checkpointed(time_folds(train, k))
+        return [(rows.where(F.col("fold") < f), rows.where(F.col("fold") == f)) for f in range(1, k + 1)]
+    places = checkpointed(group_places(train))
+    rows = checkpointed(train.join(places.select("path", "place"), "path"))
+    at = F.col("place")
+    return [(rows.where((at >= a) & (at < b)), rows.where((at >= b) & (at < c))) for a, b, c in group_windows(places.count(), k)]
+
+
+def cv_error(pairs: list[tuple[DataFrame, DataFrame]], columns: list[str], model: str, params: dict) -> float:
+    """Mean of the folds' mean absolute errors on the scale of the label."""
+    found = []
+    for before, now in pairs:
+        scored = predict(fit(before, columns, model, **params), now, columns)
+        found.append(scored.agg(F.avg(F.abs(F.col("pred_log") - F.col("label")))).first()[0])
+    found = [x for x in found if x is not None]
+    return sum(found) / len(found) if found else float("nan")
 
 
-def cv_error(train: DataFrame, columns: list[str], model: str, params: dict, k: int = 3, grouped: bool = True) -> float:
-    """Mean absolute error over expanding folds: each is predicted from all earlier ones."""
-    folds, found = with_folds(train, k, grouped).cache(), []
-    for f in range(1, k + 1):
-        before, now = folds.where(F.col("fold") < f), folds.where(F.col("fold") == f)
-        found.append(evaluate(fit(before, columns, model, **params), now, columns).first().mae or 0.0)
-    folds.unpersist()
-    return sum(found) / len(found)
+def tune(train: DataFrame, columns: list[str], model: str, trials: int = 100, seed: int = 42, k: int = 5, grouped: bool = True, parallel: int = 8) -> list[Trial]:
+    """All trials of the Parzen search over the model's space, `parallel` at a time; tuning.best() is what to refit with."""
+    pairs = fold_pairs(train, k, grouped)
+    return search(lambda p: cv_error(pairs, columns, model, p), SPACES[model], trials, seed, parallel)
 
 
-def tune(train: DataFrame, columns: list[str], model: str, trials: int = 8, seed: int = 42, k: int = 3, grouped: bool = True, parallel: int = 4) -> tuple[dict, float]:
-    """Seeded random search over the model's space, trials in driver threads; the fixed parameters stay in the refit."""
-    rnd = random.Random(seed)
-    draws = [{p: rnd.choice(v) for p, v in SPACES[model].items()} for _ in range(trials)]
-    with ThreadPoolExecutor(parallel) as pool:
-        errors = list(pool.map(lambda p: cv_error(train, columns, model, p, k, grouped), draws))
-    at = min(range(trials), key=lambda i: (errors[i], i))
-    return draws[at], errors[at]
+def tuned(train: DataFrame, columns: list[str], model: str, **how) -> tuple[PipelineModel | Boosted, Trial]:
+    """The model refitted on all training rows with the best parameters found."""
+    found = best(tune(train, columns, model, **how))
+    return fit(train, columns, model, **found[0]), found
 
 
-def learning_curve(train: DataFrame, test: DataFrame, columns: list[str], model: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> list[tuple[float, float]]:
-    """Mean squared error on the test rows after training on growing shares of the paths."""
+def learning_curve(train: DataFrame, columns: list[str], model: str, shares: tuple[float, ...] = (0.1, 0.325, 0.55, 0.775, 1.0), k: int = 5) -> list[tuple[float, int, float]]:
+    """(share, fold, mean squared error on the label's scale): of each fold, models of growing nested samples of the others."""
+    rows = checkpointed(curve_folds(train, shares, k))
     out = []
-    for s in shares:
-        part = train.where(F.pmod(F.xxhash64("path"), F.lit(1000)) < int(1000 * s))
-        out.append((s, evaluate(fit(part, columns, model), test, columns).first().mse))
+    for i, share in enumerate(shares):
+        for f in range(k):
+            scored = predict(fit(rows.where((F.col("fold") != f) & (F.col("level") <= i)), columns, model), rows.where(F.col("fold") == f), columns)
+            out.append((share, f, scored.agg(F.avg((F.col("pred_log") - F.col("label")) ** 2)).first()[0]))
     return out
 
 
@@ -119,6 +137,41 @@ def linear_contributions(model: PipelineModel, df: DataFrame, columns: list[str]
     return rows.crossJoin(F.broadcast(means)).select(*keep, *[(F.lit(w) * (F.col(c) - F.col(f"{c}__mean"))).alias(c) for c, w in zip(columns, coef, strict=True)])  # one row
 
 
+def node_tables(model: PipelineModel | Boosted) -> list[TR.Tree]:
+    last = model.stages[-1]
+    return last.trees if isinstance(last, Boosted) else TR.from_spark(last)
+
+
+def tree_contributions(model: PipelineModel | Boosted, df: DataFrame, columns: list[str], keep: tuple[str, ...] = ("ord", "path")) -> DataFrame:
+    """Exact path-dependent Shapley values of a tree model, on the scale of the label."""
+    return TR.contributions(node_tables(model), prepared(df, columns), columns, list(keep))
+
+
+def extreme_contributions(model: PipelineModel | Boosted, errors: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
+    """(kind, ord, residual, feature, contribution): of the n worst and n best predictions, columns that contribute."""
+    rows = extremes(errors, n).withColumn("kind", F.lit("worst")).unionByName(extremes(errors, n, worst=False).withColumn("kind", F.lit("best")))
+    found = tree_contributions(model, rows, columns, ("kind", "ord", "residual"))
+    return found.unpivot(["kind", "ord", "residual"], columns, "feature", "contribution").where("contribution <> 0")
+
+
+#: Pairs that are always asked for, where the columns are there.
+PAIRS = (("age_in_days", "lag_1_size"), ("commit_interval_days", "age_in_days"))
+
+
+def strongest_interactions(model: PipelineModel | Boosted, df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
+    """(feature, other, mean_abs, mean): interactions of the column of greatest mean absolute contribution with the next
+    n - 1, and of PAIRS, over all rows."""
+    tables, rows = node_tables(model), checkpointed(prepared(df, columns).select(*columns))
+    top = [r.feature for r in mean_contributions(TR.contributions(tables, rows, columns, []), columns, n).collect()]
+    wanted = [(top[0], c) for c in top[1:]] + [p for p in PAIRS if set(p) <= set(columns)]
+    found = TR.mean_interactions(tables, rows, columns)
+    same = lambda a, b: ((F.col("feature") == a) & (F.col("other") == b)) | ((F.col("feature") == b) & (F.col("other") == a))
+    which = F.lit(False)
+    for a, b in wanted:
+        which = which | same(a, b)
+    return found.where(which)
+
+
 def mean_contributions(contributions: DataFrame, columns: list[str], n: int = 20) -> DataFrame:
     one = contributions.agg(*[F.avg(F.abs(c)).alias(c) for c in columns])
     return one.unpivot([], columns, "feature", "mean_abs").orderBy(F.desc("mean_abs"), "feature").limit(n)
@@ -168,7 +221,7 @@ def ablation(df: DataFrame, groups: dict[str, list[str]], model: str = "linear_r
 
 
 def cluster(df: DataFrame, columns: list[str], k: int, bisecting: bool = False) -> DataFrame:
-    """Cluster number and vector per row; Ward linkage has no distributed form, bisecting k-means gives a hierarchy."""
+    """Cluster number and vector per row; bisecting k-means gives a hierarchy (Ward linkage of files: graph.ward_linkage)."""
     rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df)
     est = (BisectingKMeans if bisecting else KMeans)(k=k, seed=42, featuresCol="features", predictionCol="cluster")
     return est.fit(rows).transform(rows).withColumn("vector", vector_to_array("features")).drop("features")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 
@@ -92,3 +95,43 @@ def pivot_mean(df: DataFrame, row: str, column: str, values: list, of: str) -> D
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
     return df.select(F.width_bucket(value.cast("double"), F.lit(low), F.lit(high), F.lit(bins)).cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+# Frames for plots
+
+
+def density(df: DataFrame, group: str, value: str, low: float, high: float, width: float, points: int = 64) -> DataFrame:
+    """(group, at, density): a normal kernel of the given width on a grid, for violins. Rows are counted in `points` bins
+    first, so the kernels meet counts, not rows; values outside the range are left out."""
+    step = (high - low) / points
+    kept = df.where(F.col(group).isNotNull() & F.col(value).between(low, high))
+    bins = kept.groupBy(group, F.least(F.floor((F.col(value) - low) / step), F.lit(points - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    at = lambda c: low + (F.col(c) + 0.5) * step
+    grid = bins.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    gap = (at("to") - at("bin")) / width
+    total = grid.groupBy(group, "to").agg(F.sum(F.col("n") * F.exp(-0.5 * gap * gap)).alias("k"), F.sum("n").alias("n"))
+    return total.select(group, at("to").alias("at"), (F.col("k") / (F.col("n") * width * (2 * math.pi) ** 0.5)).alias("density"))
+
+
+def quantile_pairs(df: DataFrame, a: str, b: str, n: int = 20) -> DataFrame:
+    """(share, a, b): the same n + 1 quantiles of two columns side by side."""
+    at = [k / n for k in range(n + 1)]
+    one = df.agg(F.percentile(a, F.array(*[F.lit(x) for x in at])).alias("x"), F.percentile(b, F.array(*[F.lit(x) for x in at])).alias("y"))
+    return one.select(F.posexplode(F.arrays_zip("x", "y")).alias("k", "p")).select((F.col("k") / n).alias("share"), F.col("p.x").alias(a), F.col("p.y").alias(b))
+
+
+def shares(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, share) of the values of a column, for pies."""
+    found = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return found.select(F.col(column).alias("value"), "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))  # a row a value
+
+
+def cells(df: DataFrame, x: str, y: str, x_step: float, y_step: float) -> DataFrame:
+    """(x, y, n): rows per cell of a grid, the data of a scatter plot of any number of rows."""
+    return df.select(F.floor(F.col(x) / x_step).alias(x), F.floor(F.col(y) / y_step).alias(y)).groupBy(x, y).agg(F.count("*").alias("n"))
+
+
+def error_curve(errors: DataFrame, step: float = 30.0) -> DataFrame:
+    """(actual_from, n, mean_error, mean_residual, worst): errors against the actual value, in steps."""
+    at = (F.floor(F.col("actual") / step) * step).alias("actual_from")
+    return errors.groupBy(at).agg(F.count("*").alias("n"), F.avg("abs_error").alias("mean_error"), F.avg("residual").alias("mean_residual"), F.max("abs_error").alias("worst"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
 from .windows import part, rows
 
 
@@ -62,3 +63,44 @@ def first_last(df: DataFrame, columns: list[str]) -> DataFrame:
     seen = lambda c: F.when(F.col(c).isNotNull(), at)
     found = df.groupBy("path").agg(*[x for c in columns for x in (F.min_by(c, seen(c)).alias(f"{c}_first"), F.max_by(c, seen(c)).alias(f"{c}_last"))])
     return found.withColumns({f"{c}_diff_total": F.col(f"{c}_last") - F.col(f"{c}_first") for c in columns})
+
+
+def in_order(df: DataFrame, *order: str) -> DataFrame:
+    """Adds place (gapless from 0) and rows (of df): range partitions are sorted side by side, and a row per partition says
+    how many come before."""
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("rows"))
+    return placed.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")  # a row per partition
+
+
+def time_folds(df: DataFrame, k: int = 5) -> DataFrame:
+    """Adds fold: the rows by time in a first stretch (0) and k test stretches of n // (k + 1) rows (1 to k). Fold f is
+    predicted from all rows with a smaller fold."""
+    size = F.greatest(F.floor(F.col("rows") / (k + 1)), F.lit(1))
+    first = F.col("rows") - k * size
+    return in_order(df, "date", "ord").withColumn("fold", F.when(F.col("place") < first, 0).otherwise(F.floor((F.col("place") - first) / size) + 1).cast("int")).drop("place", "rows")
+
+
+def group_places(df: DataFrame) -> DataFrame:
+    """(path, place, rows): the paths by their first commit."""
+    return in_order(df.groupBy("path").agg(F.min("date").alias("first")), "first", "path").drop("first")
+
+
+def group_windows(groups: int, k: int = 5, test_ratio: float = 0.2, shift: int = 1) -> list[tuple[int, int, int]]:
+    """k windows over places of groups: training from the first number up to the second, testing up to the third; each
+    window is `shift` groups after the one before and the last ends with the last group."""
+    test = max(1, int(groups * test_ratio))
+    train = groups - test - (k - 1) * shift
+    if train < 1:
+        raise ValueError(f"{groups} groups are too few for {k} folds")
+    return [(s * shift, s * shift + train, s * shift + train + test) for s in range(k)]
+
+
+def curve_folds(df: DataFrame, shares: tuple[float, ...] = (0.1, 0.325, 0.55, 0.775, 1.0), k: int = 5) -> DataFrame:
+    """Adds fold (k stretches of like size in order of time) and level, the first of the shares whose sample holds the row;
+    samples are nested, drawn by hash of ord."""
+    level, h = F.lit(len(shares) - 1), F.substring(F.md5(F.concat(F.col("ord").cast("string"), F.lit("42")).cast("binary")), 1, 6)
+    for i in range(len(shares) - 2, -1, -1):
+        level = F.when(h < F.lit(f"{int(shares[i] * (1 << 24)):06x}"), i).otherwise(level)
+    return in_order(df, "date", "ord").withColumns({"fold": F.floor(F.col("place") * k / F.col("rows")).cast("int"), "level": level.cast("int")}).drop("place", "rows")

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ml import models as M
+from ..ml.tuning import best
 from ..operators import errors as E
 from ..operators import features as X
 from ..operators import graph as G
 from ..operators import labels as L
 from ..operators import registry
 from ..operators import splits as P
+from ..schema import FULL_COMMIT
 from ..session import checkpointed, shared_folder
 from ..sources import history as H
+from ..sources import tracking as K
 from ..sources import upserts as U
 from ..streaming import sync
 from . import sql as Q
@@ -567,6 +570,81 @@ def error_pivot(spark, d):
     return E.pivot_mean(errors(spark, d), "error_type", "top_dir", ["src", "lib"], "abs_error").select("error_type", rd("src").alias("src"), rd("lib").alias("lib"))
 
 
+_TOUCHED = """f0 AS (SELECT l_orderkey AS sha, l_linenumber, o_orderdate AS date, concat('f', l_partkey % 300) AS path,
+  CASE WHEN l_suppkey % 17 = 0 THEN 'renamed' WHEN l_suppkey % 13 = 0 THEN 'removed' ELSE 'modified' END AS status,
+  CASE WHEN l_suppkey % 17 = 0 THEN concat('f', (l_partkey * 7 + 1) % 300) END AS previous,
+  coalesce(CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END, o_orderstatus) AS committer,
+  CAST(l_quantity AS BIGINT) AS additions, CASE WHEN l_suppkey % 13 = 0 THEN 404 WHEN l_partkey % 11 = 0 THEN 404 ELSE 200 END AS http_status,
+  l_partkey % 23 = 0 AS is_list, CASE WHEN l_partkey % 29 = 0 THEN 'symlink' ELSE 'file' END AS kind, CAST(floor(l_extendedprice) AS BIGINT) AS size
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+f AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY l_linenumber, path, status, previous NULLS FIRST, additions, size) AS pos FROM f0),
+u AS (SELECT sha, pos, date, path AS name, 0 AS gone FROM f UNION ALL SELECT sha, pos, date, previous, 1 FROM f WHERE status = 'renamed' AND previous <> path),
+n AS (SELECT *, concat(name, '#', coalesce(sum(gone) OVER (PARTITION BY name ORDER BY date, sha, pos, gone ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS life FROM u),
+e AS (SELECT a.life AS was, b.life AS now FROM n a JOIN n b ON a.sha = b.sha AND a.pos = b.pos AND a.gone = 1 AND b.gone = 0),
+w AS (SELECT was AS life, now AS head, 1 AS depth FROM e UNION ALL SELECT w.life, e.now, depth + 1 FROM w JOIN e ON e.was = w.head),
+h AS (SELECT life, arg_max(head, depth) AS head FROM w GROUP BY life),
+p AS (SELECT f.*, coalesce(h.head, n.life) AS head FROM f JOIN n ON n.sha = f.sha AND n.pos = f.pos AND n.gone = 0 LEFT JOIN h ON h.life = n.life),
+c AS (SELECT DISTINCT ON (sha, path) sha, path, http_status, is_list, kind, size FROM f ORDER BY sha, path, pos),
+k AS (SELECT p.head, p.sha, p.path, p.date, p.committer, p.additions, CASE WHEN c.http_status = 404 THEN 0 ELSE c.size END AS size FROM p JOIN c USING (sha, path)
+  WHERE CASE WHEN c.http_status = 404 THEN p.status <> 'renamed' ELSE NOT c.is_list AND c.kind <> 'symlink' END)"""
+
+
+@query(f"""WITH RECURSIVE {_TOUCHED} SELECT split_part(head, '#', 1) AS path, CAST(count(DISTINCT CASE WHEN path <> split_part(head, '#', 1) THEN path END) AS BIGINT) AS previous, count(*) AS entries,
+CAST(sum(size) AS BIGINT) AS size, CAST(sum(additions) AS BIGINT) AS additions, arg_min(committer, concat(strftime(date, '%Y-%m-%d'), lpad(CAST(sha AS VARCHAR), 12, '0'))) AS first_committer FROM k GROUP BY head""")
+def file_tracking(spark, d):
+    """Nested full commits, made of the order tables, to files with all their former names."""
+    line, order = H.table(spark, d, "lineitem"), H.table(spark, d, "orders")
+    renamed, removed = F.col("l_suppkey") % 17 == 0, F.col("l_suppkey") % 13 == 0
+    name = F.concat(F.lit("f"), (F.col("l_partkey") % 300).cast("string"))
+    key = F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("sha")
+    status = F.when(renamed, "renamed").when(removed, "removed").otherwise("modified")
+    file = F.struct(name.alias("filename"), status.alias("status"), F.when(renamed, F.concat(F.lit("f"), ((F.col("l_partkey") * 7 + 1) % 300).cast("string"))).alias("previous_filename"), F.col("l_quantity").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"), F.col("l_quantity").cast("long").alias("changes"))
+    files = line.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", file.alias("f")))), lambda x: x["f"]).alias("files"))
+    head = order.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("sha"), F.struct(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date")).alias("author"), F.struct(F.col("o_orderstatus").alias("name")).alias("committer")).alias("commit"), F.struct(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("login")).alias("committer"))
+    commits = head.join(files, "sha").to(FULL_COMMIT)
+    answer = line.groupBy(key, name.alias("path")).agg(F.min_by(F.struct(F.when(removed | (F.col("l_partkey") % 11 == 0), 404).otherwise(200).alias("http_status"), (F.col("l_partkey") % 23 == 0).alias("is_list"), F.when(F.col("l_partkey") % 29 == 0, "symlink").otherwise("file").alias("kind"), F.floor("l_extendedprice").cast("long").alias("size")), F.struct("l_linenumber", status, file["previous_filename"], file["additions"], F.floor("l_extendedprice").cast("long"))).alias("c"))
+    found = K.tracked(commits, answer.select("sha", "path", "c.*"))
+    total = lambda c: F.aggregate("commit_history", F.lit(0).cast("long"), lambda a, x: a + x[c])
+    return found.select("path", F.size("previous_paths").cast("long").alias("previous"), F.size("commit_history").cast("long").alias("entries"), total("size").alias("size"), total("additions").alias("additions"), F.col("commit_history")[0]["committer"].alias("first_committer"))
+
+
+@query()
+def ward_linkage(spark, d):
+    """Merges of the parts that the orders of small number ranges hold together."""
+    few = _commit_files(spark, d).withColumn("path", F.col("path") % 60)
+    return G.ward_linkage(G.distances(G.cooccurrence(few)))
+
+
+# Frames for plots
+
+
+@query(f"""WITH {Q.errors()}, b AS (SELECT true_bin, least(floor(abs_error / 31.25), 63) AS bin, count(*) AS n FROM err WHERE true_bin IS NOT NULL AND abs_error BETWEEN 0 AND 2000 GROUP BY 1, 2),
+g AS (SELECT b.*, unnest(range(64)) AS step FROM b)
+SELECT true_bin, (step + 0.5) * 31.25 AS at, round(sum(n * exp(-0.5 * ((step - bin) * 31.25 / 50.0) ** 2)) / (sum(n) * 50.0 * sqrt(2 * pi())), 9) AS density FROM g GROUP BY true_bin, step""")
+def plot_violin(spark, d):
+    return E.density(errors(spark, d), "true_bin", "abs_error", 0.0, 2000.0, 50.0).withColumn("density", rd("density", 9))
+
+
+@query(f"WITH {Q.errors()}, q AS (SELECT quantile_cont(actual, [0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1]) AS a, quantile_cont(residual, [0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1]) AS b FROM err) SELECT round(unnest(range(21)) / 20.0, 6) AS share, {Q.r('unnest(a)', 4)} AS actual, {Q.r('unnest(b)', 4)} AS residual FROM q")
+def plot_quantiles(spark, d):
+    return E.quantile_pairs(errors(spark, d), "actual", "residual").select(rd("share").alias("share"), rd("actual", 4).alias("actual"), rd("residual", 4).alias("residual"))
+
+
+@query(f"WITH {Q.labels()}, t AS (SELECT completion_reason AS value, count(*) AS n FROM lab WHERE completion_reason IS NOT NULL GROUP BY 1) SELECT value, n, {Q.r('n / sum(n) OVER ()')} AS share FROM t")
+def plot_shares(spark, d):
+    return E.shares(labelled(spark, d), "completion_reason").withColumn("share", rd("share"))
+
+
+@query(f"WITH {Q.errors()} SELECT CAST(floor(age_in_days / 100.0) AS BIGINT) AS age_in_days, CAST(floor(residual / 50.0) AS BIGINT) AS residual, count(*) AS n FROM err GROUP BY 1, 2")
+def plot_residuals(spark, d):
+    return E.cells(errors(spark, d), "age_in_days", "residual", 100.0, 50.0)
+
+
+@query(f"WITH {Q.errors()} SELECT floor(actual / 30) * 30.0 AS actual_from, count(*) AS n, {Q.r('avg(abs_error)')} AS mean_error, {Q.r('avg(residual)')} AS mean_residual, {Q.r('max(abs_error)')} AS worst FROM err GROUP BY 1")
+def plot_error_curve(spark, d):
+    return E.error_curve(errors(spark, d)).select(F.col("actual_from").cast("double").alias("actual_from"), "n", *[rd(c).alias(c) for c in ("mean_error", "mean_residual", "worst")])
+
+
 # Models
 
 
@@ -646,18 +724,75 @@ def ablation(spark, d):
     return rows_of(spark, M.ablation(df, groups), "configuration string, mae double")
 
 
+#: What the registered query asks of the tuner; its own defaults are 100 trials of 5 folds.
+TRIALS, FOLDS = 2, 2
+
+
 @query()
 def tuning(spark, d):
+    """The best trial of every tuned model."""
     df, columns, _ = modelled(spark, d)
-    best, err = M.tune(df.where("split = 'train'"), columns, "linear_regression", trials=3, k=2)
-    return rows_of(spark, [(str(best), err)], "params string, mae double")
+    train, rows = df.where("split = 'train'"), []
+    for model in ("random_forest", "gradient_boosting", "xgboost", "lightgbm"):
+        params, err = best(M.tune(train, columns, model, trials=TRIALS, k=FOLDS))
+        rows.append((model, str(params), err))
+    return rows_of(spark, rows, "model string, params string, mae_log double")
+
+
+@query(f"""WITH {Q.by_history()}, n AS (SELECT ord, path, row_number() OVER (ORDER BY date, ord) - 1 AS place, count(*) OVER () AS rows FROM split WHERE split = 'train')
+SELECT ord, path, CAST(CASE WHEN place < rows - 5 * greatest(rows // 6, 1) THEN 0 ELSE (place - (rows - 5 * greatest(rows // 6, 1))) // greatest(rows // 6, 1) + 1 END AS INTEGER) AS fold FROM n""")
+def time_folds(spark, d):
+    return P.time_folds(history_split(spark, d).where("split = 'train'")).select("ord", "path", "fold")
+
+
+@query(f"""WITH {Q.by_file()}, g AS (SELECT path, row_number() OVER (ORDER BY first, path) - 1 AS place, count(*) OVER () AS groups FROM (SELECT path, min(date) AS first FROM fsplit WHERE split = 'train' GROUP BY path)),
+t AS (SELECT *, greatest(1, CAST(floor(groups * 0.2) AS BIGINT)) AS test FROM g),
+f AS (SELECT t.*, unnest(range(5)) AS fold FROM t)
+SELECT path, CAST(fold AS INTEGER) AS fold, CASE WHEN place - fold < groups - test - 4 THEN 'train' ELSE 'test' END AS side FROM f WHERE place - fold >= 0 AND place - fold < groups - 4""")
+def group_folds(spark, d):
+    places = checkpointed(P.group_places(P.split_by_file(labelled(spark, d)).where("split = 'train'")))
+    at, found = F.col("place"), None
+    for k, (a, b, c) in enumerate(P.group_windows(places.count())):
+        one = places.where((at >= a) & (at < c)).select("path", F.lit(k).alias("fold"), F.when(at < b, "train").otherwise("test").alias("side"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(f"""WITH {Q.by_history()}, n AS (SELECT ord, path, row_number() OVER (ORDER BY date, ord) - 1 AS place, count(*) OVER () AS rows, substr(md5(concat(ord, '42')), 1, 6) AS h FROM split WHERE split = 'train')
+SELECT ord, path, CAST(place * 5 // rows AS INTEGER) AS fold, CAST(CASE WHEN h < '199999' THEN 0 WHEN h < '533333' THEN 1 WHEN h < '8ccccc' THEN 2 WHEN h < 'c66666' THEN 3 ELSE 4 END AS INTEGER) AS level FROM n""")
+def curve_folds(spark, d):
+    return P.curve_folds(history_split(spark, d).where("split = 'train'")).select("ord", "path", "fold", "level")
 
 
 @query()
 def learning_curve(spark, d):
     df, columns, _ = modelled(spark, d)
-    df = df.cache()
-    return rows_of(spark, M.learning_curve(df.where("split = 'train'"), df.where("split = 'test'"), columns, "linear_regression"), "share double, mse double")
+    return rows_of(spark, M.learning_curve(df.where("split = 'train'"), columns, "linear_regression"), "share double, fold int, mse double")
+
+
+@query()
+def shap_tree(spark, d):
+    """Mean absolute Shapley values of the forest over all rows."""
+    df, columns, _, model = _fitted(spark, d, "random_forest")
+    return M.mean_contributions(M.tree_contributions(model, df, columns), columns)
+
+
+@query()
+def shap_extremes(spark, d):
+    df, columns, _, model = _fitted(spark, d, "random_forest")
+    return M.extreme_contributions(model, E.error_frame(M.predict(model, df.where("split = 'test'"), columns)), columns)
+
+
+@query()
+def shap_tree_by_committer(spark, d):
+    df, columns, _, model = _fitted(spark, d, "xgboost")
+    return M.contributions_by(M.tree_contributions(model, df, columns, ("committer_grouped",)), "committer_grouped", columns)
+
+
+@query()
+def shap_interactions(spark, d):
+    df, columns, _, model = _fitted(spark, d, "random_forest")
+    return M.strongest_interactions(model, df.where("split = 'test'"), columns)
 
 
 @query()
