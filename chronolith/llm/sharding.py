@@ -6,9 +6,12 @@ so it may be planned on the driver and broadcast. It is stored, a folder for eac
 twice. Every edit makes a new version: rebalancing moves few slots, from the fullest shards to the emptiest, and leaves
 all others where they are. Documents are dealt by the newest version, as it is read back from storage.
 
-Defined cases: a null text has no bytes and CRC-32 zero; a null doc_id is slotted by its text's checksum, so many
-null ids don't share one slot; rows that repeat share a slot and get places of their own; a text of any length counts
-whole, in one slot; an empty table gives no rows and a map all the same; columns but doc_id and text are not read, so
+A record's key is its id, size and checksum, so neither many texts under one id nor many null ids share a slot. A slot that
+holds over twice its part all the same (rows that repeat) is spread: its rows hash by their place in the checkpointed
+table instead, over all slots.
+
+Defined cases: a null text has no bytes and CRC-32 zero; rows that repeat get places of their own; a text of any length
+counts whole, in one slot; an empty table gives no rows and a map all the same; columns but doc_id and text are not read, so
 their names can't clash.
 """
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,9 +80,21 @@ def plan(size: dict[int, int], shards: int, slots: int = SLOTS) -> SlotMap:
     return SlotMap(tuple(shard_of), shards)
 
 
-def rebalance(now: SlotMap, size: dict[int, int], shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
+def swap(high: list[tuple[int, int]], low: list[tuple[int, int]], gap: int) -> tuple[int, int] | None:
+    """Of slots (size, slot) of the fullest and the emptiest shard, the pair whose exchange narrows the gap most."""
+    low, best = sorted(low), None
+    for a, x in sorted(high):
+        k = bisect_left(low, (a - gap / 2, -1))
+        for b, y in low[max(k - 1, 0) : k + 1]:
+            if 0 < a - b < gap and (best is None or abs(gap / 2 - (a - b)) < best[0]):
+                best = (abs(gap / 2 - (a - b)), x, y)
+    return best and best[1:]
+
+
+def rebalance(now: SlotMap, size: dict[int, int], shards: int | None = None, tolerance: float = 0.02, least: int = 0) -> SlotMap:
     """The next version for new slot sizes or another number of shards: slots leave the fullest shard for the emptiest
-    while that narrows the gap and a shard is off the mean by more than tolerance. Shards that go are emptied first."""
+    while that narrows the gap and a shard is off the mean by more than tolerance; where no slot does, two are exchanged,
+    until the gap is `least` at most. Shards that go are emptied first."""
     shards = shards or now.shards
     shard_of, moved = list(now.shard_of), set()
     load = [0] * max(shards, now.shards)
@@ -106,7 +122,12 @@ def rebalance(now: SlotMap, size: dict[int, int], shards: int | None = None, tol
             break
         fit = [k for k in held[high] if 0 < size.get(k, 0) < gap]
         if not fit:
-            break
+            pair = swap([(size.get(k, 0), k) for k in held[high]], [(size.get(k, 0), k) for k in held[low]], gap) if gap > least else None
+            if pair is None:
+                break
+            move(pair[0], low)
+            move(pair[1], high)
+            continue
         move(min(fit, key=lambda k: (abs(gap / 2 - size.get(k, 0)), k)), low)
     return SlotMap(tuple(shard_of), shards, now.version + 1, tuple(sorted(moved)))
 
@@ -115,8 +136,23 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot) of every row: the only pass over the texts."""
     raw = F.col("text").cast("binary")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
-    return found.withColumn("vslot", F.pmod(key, F.lit(slots)).cast("int"))
+    return found.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+
+
+def slot_sizes(rows: DataFrame) -> list:
+    return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.max("size").alias("most")).collect()  # a row a slot
+
+
+def spread(rows: DataFrame, per_slot: list, slots: int) -> tuple[DataFrame, list]:
+    """Rows and slot sizes after the rows of slots that hold over twice their part, and over two of the largest rows, are dealt
+    over all slots by their place. rows must be checkpointed, which keeps places as they are."""
+    part, most = sum(r.bytes for r in per_slot) / slots, max((r.most for r in per_slot), default=0)
+    full = [r.vslot for r in per_slot if r.bytes > 2 * part and r.bytes > 2 * most]
+    if not full:
+        return rows, per_slot
+    by_place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    rows = cut(rows.withColumn("vslot", F.when(F.col("vslot").isin(full), by_place).otherwise(F.col("vslot"))))
+    return rows, slot_sizes(rows)
 
 
 def shard(docs: DataFrame, map_path: str, shards: int = 8, slots: int = SLOTS, tolerance: float = 0.0) -> DataFrame:
@@ -127,13 +163,13 @@ def shard(docs: DataFrame, map_path: str, shards: int = 8, slots: int = SLOTS, t
     """
     spark = docs.sparkSession
     rows = cut(sized(docs, slots))
-    per_slot = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # at most `slots` rows
+    rows, per_slot = spread(rows, slot_sizes(rows), slots)
     if not SlotMap.stored(spark, map_path):
         even(shards, slots).save(spark, map_path)
     now = SlotMap.load(spark, map_path)
     if len(now.shard_of) != slots:
         raise ValueError(f"the stored map has {len(now.shard_of)} slots; slots are fixed")
-    new = rebalance(now, {r.vslot: r.bytes for r in per_slot}, shards, tolerance)
+    new = rebalance(now, {r.vslot: r.bytes for r in per_slot}, shards, tolerance, max((r.most for r in per_slot), default=0))
     if new.moved or new.shards != now.shards:
         new.save(spark, map_path)
     held = SlotMap.load(spark, map_path)

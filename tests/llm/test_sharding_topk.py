@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,6 +42,20 @@ def test_a_second_run_edits_the_stored_map(spark, tmp_path):
         newest.save(spark, at)
 
 
+@pytest.mark.parametrize("kind", ["one id", "null rows", "one row"])
+def test_bytes_are_near_equal_where_rows_repeat(spark, tmp_path, kind):
+    rnd = random.Random(6)
+    odd = {"one id": lambda i: (7, f"text {i} " + "x" * rnd.randrange(9)), "null rows": lambda i: (None, None), "one row": lambda i: (7, "the same text")}[kind]
+    rows = [odd(i) for i in range(3000)] + [(100 + i, "y" * rnd.randrange(12)) for i in range(1000)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), f"{tmp_path}/map").collect()
+    sizes = [sum(r.size for r in found if r["shard"] == s) for s in range(8)]
+    assert len(found) == 4000 and max(sizes) - min(sizes) <= max(r.size for r in found)
+    per_slot = Counter(r.vslot for r in found)
+    assert max(per_slot.values()) <= 12  # no slot, which is a task's, holds the repeated rows
+    for s in range(8):
+        assert sorted(r.slot for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
+
+
 def test_rebalancing_moves_little_and_makes_a_version(spark, tmp_path):
     rnd = random.Random(1)
     size = {k: rnd.randint(1, 100) for k in range(512)}
