@@ -4,8 +4,9 @@ A piece demands tokens, one document place and attention cost (its squared lengt
 open bins that can hold a piece under every constraint, the one with the smallest weighted residual norm afterwards
 (or the largest weighted dot product of demand and residual) takes it, else a new bin opens.
 
-The pieces are dealt by hash into groups of about `group` full bins, each packed by itself, so no task grows with the
-input and each group wastes at most one bin. Numbers of bins are unique over all groups.
+The pieces are dealt into groups of about `group` full bins and at most about ROWS pieces, each packed by itself, so no task
+grows with the input and each group wastes at most one bin. They are dealt by hash of their place in the checkpointed
+table too, so rows that repeat don't share a group. Numbers of bins are unique over all groups.
 
 op8 bounds tokens only, as its contract does: its other two capacities are what the tokens imply and never bind.
 best_fit() takes tighter ones, and tests pack under each of them.
@@ -29,6 +30,9 @@ from .bpe import token_pieces
 from .common import cut, rows_out, ship, shuffle_partitions
 
 
+ROWS = 1 << 18  # pieces of a group, about
+
+
 def pack(lengths: np.ndarray, tokens: int, docs: int, attention: float, rule: str = "norm", weights: tuple = (1.0, 1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of every piece; capacities hold in each dimension of every bin."""
     if len(lengths) and (lengths.max() > tokens or docs < 1 or float(lengths.max()) ** 2 > attention):
@@ -78,7 +82,7 @@ def best_fit(pieces: DataFrame, tokens: int = 4096, docs: int | None = None, att
     pieces = cut(pieces)
     sums = pieces.agg(F.sum("length"), F.count("*"), F.sum(F.col("length") * F.col("length"))).first()
     full = max((sums[0] or 0) / tokens, (sums[1] or 0) / docs, (sums[2] or 0) / attention)
-    groups = max(1, round(full / group))
+    groups = max(1, round(full / group), -(-(sums[1] or 0) // ROWS))
     bits = 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +103,8 @@ def best_fit(pieces: DataFrame, tokens: int = 4096, docs: int | None = None, att
         if held:
             yield out(held)
 
-    # A task holds one group at a time, a bounded number of rows; row order is fixed so that a rerun packs alike.
-    keyed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # A task holds one group at a time, of about ROWS pieces; places and row order are fixed, so that a rerun packs alike.
+    keyed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     dealt = keyed.repartition(min(groups, shuffle_partitions(spark) * 4), "g").sortWithinPartitions("g", "doc_id", "piece", "ids_crc32", "length")
     return dealt.select("g", *[x.name for x in list(PACKED)[:5]]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

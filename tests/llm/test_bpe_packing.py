@@ -91,3 +91,13 @@ def test_many_groups_have_numbers_of_their_own(spark):
     rows = spark.createDataFrame([(i, 0, 0, i % 90 + 1, i) for i in range(2000)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     got = packing.best_fit(rows, 100, group=20).collect()
     assert len(got) == 2000 and held(got, 100) <= 1.1 * sum(i % 90 + 1 for i in range(2000)) / 100
+
+
+def test_equal_pieces_share_no_group(spark):
+    rows = [(7, 0, 0, 100, 5)] * 6000 + [(i, 0, 0, 50 + i % 90, i) for i in range(6000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(7)
+    got = packing.best_fit(pieces, group=16).collect()
+    per_group = {}
+    for r in got:
+        per_group[r.sequence_id >> 32] = per_group.get(r.sequence_id >> 32, 0) + 1
+    assert len(got) == 12_000 and len(per_group) > 8 and max(per_group.values()) <= 2 * 12_000 / len(per_group)
