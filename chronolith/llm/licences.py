@@ -2,12 +2,14 @@
 
 A text is cut into paragraphs at blank lines, these into lines (comment marks before and after them go), and lines at
 sentence marks. A sentence is a run of such fragments of which none but the last ends with a mark, so a sentence may be
-wrapped over lines, and a line without a mark may be a sentence of its own. Sentences are normalised (lower case;
+wrapped over lines, and a line without a mark may be a sentence of its own. Semicolons and colons part fragments but
+need not end a sentence, as licences print them inside sentences too. Sentences are normalised (lower case;
 letters, digits and dots within numbers; one space). A whole normalised sentence that is known becomes its identifier,
 any other becomes nothing: a known sentence inside a longer one, or over a sentence mark, is none. From each fragment on
 the longest known sentence counts.
 
-Sentences with a holder's name match by their beginning and end; notices ("this file is licensed under the ...") are
+SPDX lines are read as expressions: known identifiers joined by OR and AND, with known exceptions. Sentences with a
+holder's name match by their beginning and end; notices ("this file is licensed under the ...") are
 made by a rule from subjects, verbs and licence names. The identifiers, in the order of the text, are matched against
 the rules in their order: a rule is a sequence of identifiers that follow one another with at most GAP unknown fragments
 between two; its identifiers are used up, and what no rule takes is reported as unmatched.
@@ -64,6 +66,8 @@ SENTENCES = [
     ("lgpl-see", "see the gnu lesser general public license for more details"),
     ("agpl-see", "see the gnu affero general public license for more details"),
     ("gpl-copy", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl-copy", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl-copy", "you should have received a copy of the gnu affero general public license along with this program"),
     ("mpl-2-subject", "this source code form is subject to the terms of the mozilla public license v. 2.0"),
     ("mpl-2-copy", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
@@ -98,12 +102,19 @@ LICENCES = [
     ("CC-BY-4.0", "cc by 4.0"), ("CC-BY-SA-4.0", "cc by sa 4.0"), ("CC-BY-NC-4.0", "cc by nc 4.0"), ("CC-BY-ND-4.0", "cc by nd 4.0"), ("CC-BY-NC-SA-4.0", "cc by nc sa 4.0"), ("CC-BY-NC-ND-4.0", "cc by nc nd 4.0"), ("CC0-1.0", "cc0 1.0"),
     ("CC-BY-4.0", "creative commons attribution 4.0 international license"), ("CC-BY-SA-4.0", "creative commons attribution sharealike 4.0 international license"), ("Unlicense", "unlicense"),
 ]
-SPDX = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "BSL-1.0", "CC-BY-4.0", "CC0-1.0", "Unlicense", "Zlib"]
+SPDX = [
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "ECL-2.0",
+    "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0+", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0+", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1+", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Unlicense", "UPL-1.0", "WTFPL", "Zlib",
+]
+EXCEPTIONS = ["Classpath-exception-2.0", "Linux-syscall-note", "GCC-exception-3.1", "LLVM-exception", "Font-exception-2.0", "Bison-exception-2.2"]
 #: Ordered rules: the first that matches takes its identifiers. Notices and SPDX lines (id "notice:X") are rules of one.
 RULES = [
+    ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-as-is", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("ISC", ("isc-title", "isc-grant", "isc-as-is", "isc-liability")),
     ("ISC", ("isc-grant", "isc-as-is", "isc-liability")),
     ("ISC", ("isc-grant", "isc-as-is")),
     ("0BSD", ("0bsd-grant", "isc-as-is", "isc-liability")),
@@ -123,12 +134,16 @@ RULES = [
     ("GPL-2.0-or-later", ("gpl-2-or-later", "gpl-hope", "gpl-see", "gpl-copy")),
     ("GPL-2.0-or-later", ("gpl-2-or-later", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl-2-or-later",)),
+    ("GPL-2.0-only", ("gpl-2-only", "gpl-hope", "gpl-see", "gpl-copy")),
     ("GPL-2.0-only", ("gpl-2-only", "gpl-hope", "gpl-see")),
     ("GPL-2.0-only", ("gpl-2-only",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-or-later", "lgpl-hope", "lgpl-see", "lgpl-copy")),
     ("LGPL-3.0-or-later", ("lgpl-3-or-later", "lgpl-hope", "lgpl-see")),
     ("LGPL-3.0-or-later", ("lgpl-3-or-later",)),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-or-later", "lgpl-hope", "lgpl-see", "lgpl-copy")),
     ("LGPL-2.1-or-later", ("lgpl-2.1-or-later", "lgpl-hope", "lgpl-see")),
     ("LGPL-2.1-or-later", ("lgpl-2.1-or-later",)),
+    ("AGPL-3.0-or-later", ("agpl-3-or-later", "gpl-hope", "agpl-see", "agpl-copy")),
     ("AGPL-3.0-or-later", ("agpl-3-or-later", "gpl-hope", "agpl-see")),
     ("AGPL-3.0-or-later", ("agpl-3-or-later",)),
     ("MPL-2.0", ("mpl-2-subject", "mpl-2-copy")),
@@ -164,9 +179,10 @@ def fragments(text: str) -> list[tuple[str, bool]]:
         for line in paragraph.split("\n"):
             line, at = ENUMERATION.sub("", LEADERS.sub("", line)), 0
             for m in MARK.finditer(line):
+                ends = not set(m[0]) <= set(";:")
                 if piece := normalised(line[at : m.start()]):
-                    out.append((piece, True))
-                elif len(out) > first:
+                    out.append((piece, ends))
+                elif ends and len(out) > first:
                     out[-1] = (out[-1][0], True)
                 at = m.end()
             if piece := normalised(line[at:]):
@@ -186,22 +202,51 @@ def known() -> tuple[dict[str, str], int]:
                 for term in TERMS:
                     for tail in ("", " the license"):  # (the "License")
                         found.setdefault(f"{subject}{verb} {term}{licence}{tail}", f"notice:{name}")
-    for name in SPDX:
-        found[f"spdx license identifier {normalised(name)}"] = f"notice:{name}"
     return found, max(len(s.split()) for s in found)
 
 
+SPDX_LINE = "spdx license identifier "
+
+
+@lru_cache(1)
+def spdx_names() -> tuple[dict[str, str], dict[str, str]]:
+    """Identifiers and exceptions by their normalised names; a plus is no letter, so names with one come by their words."""
+    names = {normalised(n): n for n in SPDX if not n.endswith("+")}
+    return names, {normalised(n): n for n in EXCEPTIONS}
+
+
+def expression(sentence: str) -> str | None:
+    """An SPDX expression of known names as one identifier, or nothing; the longest name counts ("gpl 2.0 or later")."""
+    words, at, out, wants = sentence.split(), 0, [], 0
+    while at < len(words):
+        if wants == 2:  # after a name: an operator
+            if words[at] not in ("or", "and", "with"):
+                return None
+            out.append(words[at].upper())
+            wants, at = int(words[at] == "with"), at + 1
+            continue
+        names = spdx_names()[wants]
+        end = next((e for e in range(min(at + 6, len(words)), at, -1) if " ".join(words[at:e]) in names), None)
+        if end is None:
+            return None
+        out.append(names[" ".join(words[at:end])])
+        at, wants = end, 2
+    return f"notice:{' '.join(out)}" if wants == 2 else None
+
+
 def identifier(sentence: str) -> str | None:
     if name := known()[0].get(sentence):
         return name
+    if sentence.startswith(SPDX_LINE):
+        return expression(sentence[len(SPDX_LINE) :])
     for name, start, end in NAMED:
         if sentence.startswith(start) and sentence.endswith(end) and len(sentence) >= len(start) + len(end):
             return name
     return None
 
 
-#: Words that a sentence with a name in it may have.
-NAMED_WORDS = 80
+#: Words that are tried as one sentence, unless a known one is longer: no text of a licence has a named sentence near that.
+NAMED_WORDS = 400
 
 
 def identifiers(text: bytes | None) -> list[tuple[int, int, str]]:

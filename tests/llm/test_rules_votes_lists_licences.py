@@ -242,10 +242,10 @@ def slow_sentences(text):
                 close += 1
             v = at > 0 and line[at - 1] == "v" and (at == 1 or not (line[at - 2].isalnum() or line[at - 2] == "_"))
             if at == len(line) or (mark > at and not v and (close == len(line) or line[close].isspace())):
-                words = slow_normal(now)
+                words, ends = slow_normal(now), any(c in ".!?" for c in line[at:close]) or any(c in "\"')]" for c in line[at:close])
                 if words:
-                    out.append((words, at < len(line)))
-                elif at < len(line) and len(out) > first:
+                    out.append((words, at < len(line) and ends))
+                elif at < len(line) and ends and len(out) > first:
                     out[-1] = (out[-1][0], True)
                 now, at = "", max(close, at + 1)
                 if at > len(line) or at == len(line):
@@ -288,6 +288,8 @@ def slow_scan(text):
                     best = (at, end, name)
                     break
             else:
+                if x.startswith("spdx license identifier mit") and x in ("spdx license identifier mit", "spdx license identifier mit or apache 2.0"):
+                    best = (at, end, "notice:MIT" if x.endswith("mit") else "notice:MIT OR Apache-2.0")
                 for name, a, z in licences.NAMED:
                     if x.startswith(a) and x.endswith(z) and len(x) >= len(a + z):
                         best = (at, end, name)
@@ -323,7 +325,7 @@ CASES = [
     ("This is released under. The MIT license of the town.", "", ""), ("relicensed under the mit licenses", "", ""), ("We had it released under the MIT license before.", "", ""),
     ("This file is licensed under the\nMIT License\n\nAll rights reserved.", "MIT", "all-rights"), ("Released under\n\nthe MIT License.", "", "mit-title"),
     ("subject to the terms of the Mozilla Public License, v. 2.0", "", ""), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0", ""),
-    ("SPDX-License-Identifier: MIT", "", ""), (MIT.replace("Permission is", "No permission is"), "", "mit-notice,mit-as-is"), ("", "", ""), ("\n\n...\n! ?", "", ""),
+    ("SPDX-License-Identifier: MIT", "MIT", ""), (MIT.replace("Permission is", "No permission is"), "", "mit-notice,mit-as-is"), ("", "", ""), ("\n\n...\n! ?", "", ""),
 ]
 
 
@@ -351,3 +353,36 @@ def test_licence_rows(spark):
     assert len(got) == docs.count() + 1
     assert [(r.licences, r.unmatched) for r in got if r.n_sentences] == [("MIT", "all-rights")]
     assert licences.scan(docs.limit(0)).collect() == []
+
+
+# Notices as they are printed.
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = GPL3.replace("free software: you", "free software; you").replace("version 3 of the License", "version 2 of the License")
+PRINTED = [
+    (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), ("\n".join(f" * {x}" for x in GPL3.split("\n")), "GPL-3.0-or-later"),
+    (GPL2.replace("either version 2 of the License, or\n    (at your option) any later version.", "version 2 of the License."), "GPL-2.0-only"),
+    (GPL3.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"),
+    (GPL2.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of"), "LGPL-2.1-or-later"),
+    (GPL3.replace("program", "library").replace("GNU General", "GNU Lesser General"), "LGPL-3.0-or-later"),
+    ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", "MPL-2.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+    ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0-only WITH Linux-syscall-note"), ("SPDX-License-Identifier: (MIT AND BSD-3-Clause)", "MIT AND BSD-3-Clause"),
+    ("SPDX-License-Identifier: Mine-1.0", ""), ("SPDX-License-Identifier: MIT OR", ""), ("MIT License\n\n" + MIT, "MIT"),
+]
+
+
+@pytest.mark.parametrize("text,want", PRINTED)
+def test_printed_notices(text, want):
+    found, _ = licences.recognise(licences.identifiers(text.encode()))
+    assert ",".join(x for _, x in found) == want
