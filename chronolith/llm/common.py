@@ -6,9 +6,6 @@ import contextlib
 import ctypes
 import gc
 import json
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,32 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application, unless they find it where the driver does."""
-    sc, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if getattr(sc, "_chronolith_shipped", False) or root in paths or (sc.master.startswith("local[") and os.getcwd() == root):
-        return
-    at = os.path.join(tempfile.mkdtemp(prefix="chronolith-"), "chronolith-package.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "chronolith")):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(path := os.path.join(folder, name), os.path.relpath(path, root))
-    sc.addPyFile(at)  # served by the driver
-    sc._chronolith_shipped = True
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in local mode, where none is set, one of this machine's."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not given:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        given = tempfile.mkdtemp(prefix="chronolith-")
-        spark.sparkContext.setCheckpointDir(given)
-    return given
+from ..session import shared_folder, ship  # noqa: F401  for the operators
 
 
 def remove(spark: SparkSession, path: str) -> None:
