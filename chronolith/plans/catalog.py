@@ -620,7 +620,7 @@ def ward_linkage(spark, d):
 
 @query(f"""WITH {Q.errors()}, b AS (SELECT true_bin, least(floor(abs_error / 31.25), 63) AS bin, count(*) AS n FROM err WHERE true_bin IS NOT NULL AND abs_error BETWEEN 0 AND 2000 GROUP BY 1, 2),
 g AS (SELECT b.*, unnest(range(64)) AS step FROM b)
-SELECT true_bin, (step + 0.5) * 31.25 AS at, round(sum(n * exp(-0.5 * ((step - bin) * 31.25 / 50.0) ** 2)) / (sum(n) * 50.0 * sqrt(2 * pi())), 9) AS density FROM g GROUP BY true_bin, step""")
+SELECT true_bin, CAST((step + 0.5) * 31.25 AS DOUBLE) AS at, round(sum(n * exp(-0.5 * ((step - bin) * 31.25 / 50.0) ** 2)) / (sum(n) * 50.0 * sqrt(2 * pi())), 9) AS density FROM g GROUP BY true_bin, step""")
 def plot_violin(spark, d):
     return E.density(errors(spark, d), "true_bin", "abs_error", 0.0, 2000.0, 50.0).withColumn("density", rd("density", 9))
 

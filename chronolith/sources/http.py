@@ -12,6 +12,7 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from email.utils import parsedate_to_datetime
 
 
 @dataclass(frozen=True)
@@ -58,15 +59,29 @@ def next_link(headers: dict) -> str | None:
     return found[1] if found else None
 
 
+def retry_after(value: str | None, now: float, default: float = 0.0) -> float:
+    """Seconds that a Retry-After header asks for, given as seconds or as a date; default where it says neither."""
+    if value is None:
+        return default
+    try:
+        return max(0.0, float(value))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - now)
+    except ValueError:
+        return default
+
+
 def waits(answer: Answer, attempt: int, now: float) -> float | None:
     """Seconds until the next try, or None if the answer is final."""
     headers = {k.lower(): v for k, v in answer.headers.items()}
     if answer.status == 403 and (SECONDARY in str(answer.body).lower() or "retry-after" in headers):
-        return float(headers.get("retry-after", SECONDARY_WAIT)) + JITTER[0] + (JITTER[1] - JITTER[0]) * random.random()
+        return retry_after(headers.get("retry-after"), now, SECONDARY_WAIT) + JITTER[0] + (JITTER[1] - JITTER[0]) * random.random()
     if answer.status in (403, 429) and headers.get("x-ratelimit-remaining") == "0":
         return max(0.0, float(headers.get("x-ratelimit-reset", now)) - now)
     if answer.status == 429 and "retry-after" in headers:
-        return float(headers["retry-after"])
+        return retry_after(headers["retry-after"], now, 2.0**attempt)
     return 2.0**attempt if answer.status == 429 or answer.status >= 500 else None
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from chronolith.sources.http import Answer, GaveUp, RateWindow, get, next_link, pages
+from chronolith.sources.http import Answer, GaveUp, RateWindow, get, next_link, pages, waits
 
 
 class Clock:
@@ -64,3 +64,9 @@ def test_secondary_limits_wait_as_long_as_they_say():
     assert 8 <= c.slept[0] <= 12 and 61 <= c.slept[1] <= 65 and c.slept[2] == 3
     with pytest.raises(GaveUp):
         get("u", lambda u: Answer(403, "not allowed"), limit(c), now=c)
+
+
+def test_retry_after_may_be_a_date():
+    at = Answer(429, None, {"Retry-After": "Wed, 21 Oct 2015 07:28:30 GMT"})
+    assert waits(at, 0, 1445412500.0) == 10.0 and waits(at, 0, 2e9) == 0.0
+    assert waits(Answer(429, None, {"Retry-After": "7"}), 0, 0.0) == 7.0 and waits(Answer(429, None, {"Retry-After": "soon"}), 3, 0.0) == 8.0
