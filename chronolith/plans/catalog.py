@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -732,11 +733,10 @@ TRIALS, FOLDS = 2, 2
 def tuning(spark, d):
     """The best trial of every tuned model."""
     df, columns, _ = modelled(spark, d)
-    train, rows = df.where("split = 'train'"), []
-    for model in ("random_forest", "gradient_boosting", "xgboost", "lightgbm"):
-        params, err = best(M.tune(train, columns, model, trials=TRIALS, k=FOLDS))
-        rows.append((model, str(params), err))
-    return rows_of(spark, rows, "model string, params string, mae_log double")
+    train, models = df.where("split = 'train'"), ("random_forest", "gradient_boosting", "xgboost", "lightgbm")
+    with ThreadPoolExecutor(len(models)) as pool:  # many short jobs, side by side
+        found = list(pool.map(lambda model: best(M.tune(train, columns, model, trials=TRIALS, k=FOLDS)), models))
+    return rows_of(spark, [(model, str(params), err) for model, (params, err) in zip(models, found, strict=True)], "model string, params string, mae_log double")
 
 
 @query(f"""WITH {Q.by_history()}, n AS (SELECT ord, path, row_number() OVER (ORDER BY date, ord) - 1 AS place, count(*) OVER () AS rows FROM split WHERE split = 'train')
