@@ -63,7 +63,7 @@ def test_stages_on_odd_rows(spark, small):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("embeddings", "pages", "documents"):
+    for t in ("embeddings", "pages", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     want = con.execute(catalog.oracle_sql()[name])
     names = [c[0] for c in want.description]
