@@ -47,6 +47,11 @@ def feature_columns(df: DataFrame, flags: list[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in (*NOT_FEATURES, "label", "split") and (f.dataType.typeName() in kinds or f.name in flags)]
 
 
+def chosen(columns: list[str], wanted: list[str]) -> list[str]:
+    """The columns that are named, or that begin with a name that ends in an underscore."""
+    return [c for c in columns if any(c.startswith(w) if w.endswith("_") else c == w for w in wanted)]
+
+
 def prepared(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns} | {"label": S.log_target(F.col("days_until_completion"))})
 

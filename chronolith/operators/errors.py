@@ -53,6 +53,12 @@ def all_slices(errors: DataFrame, columns: tuple[str, ...] = SLICES) -> DataFram
     return sets.select(which.alias("slice"), F.coalesce(*columns).alias("value"), "mean_error", "std_error").where(F.col("value").isNotNull())
 
 
+def one_slice(slices: DataFrame, column: str, n: int = 15) -> DataFrame:
+    """One column's part of all_slices, as by_slice gives it."""
+    found = slices.where(F.col("slice") == column).select(F.col("value").alias(column), "mean_error", "std_error")
+    return found.orderBy(F.desc("mean_error"), column).limit(n)
+
+
 def by_age(errors: DataFrame) -> DataFrame:
     """Error per age bin, with empty bins."""
     bins = errors.sparkSession.range(1).select(F.explode(F.array(*[F.lit(b[2]) for b in S.AGE_BINS])).alias("age_bin"))

@@ -9,13 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import training as T
 from ..ml import models as M
 from ..ml.tuning import best
 from ..operators import errors as E
 from ..operators import features as X
 from ..operators import graph as G
 from ..operators import labels as L
-from ..operators import registry
 from ..operators import splits as P
 from ..schema import FULL_COMMIT
 from ..session import checkpointed, shared_folder
@@ -76,12 +76,7 @@ def errors(spark, d) -> DataFrame:
 def modelled(spark, d) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
     """Split and scaled feature rows of all registered generators, one-hot columns included, with the model's columns, in
     total and by generator. Scaling is fitted on the training rows; 0/1 columns stay as they are."""
-    df, flags, groups, seen = facts(spark, d), [], {}, set(facts(spark, d).columns)
-    for name in registry.names():
-        df, more = registry.apply(df, [name])
-        flags += more
-        groups[name] = [c for c in M.feature_columns(df, more) if c not in seen]
-        seen |= set(df.columns)
+    df, flags, groups = T.featured(H.commit_facts(spark, d))
     df = P.split_by_history(L.add_target(L.label(df, Q.AS_OF)))
     columns = [c for cs in groups.values() for c in cs]
     plain = [c for c in columns if c not in flags]
@@ -739,6 +734,41 @@ def tuning(spark, d):
     return rows_of(spark, [(model, str(params), err) for model, (params, err) in zip(models, found, strict=True)], "model string, params string, mae_log double")
 
 
+_METRICS = ("mse", "mae", "mae_std", "rmse", "mdae")
+
+
+def _run_sql(split: str, base: str) -> str:
+    """Ledger and slice reports of the median on a split, as rows of (split_strategy, report, item, number)."""
+    metric = "mse AS mse, mae, mae_std, rmse, mdae"
+    slices = " UNION ALL ".join(f"(SELECT '{name}', CAST({c} AS VARCHAR), round(avg(abs_error), 4) FROM err WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY avg(abs_error) DESC, {c} LIMIT 15)" for c, name in T.SLICE_REPORTS.items())
+    return f"""WITH {Q.errors(base)}, m AS (SELECT avg(residual * residual) AS mse, avg(abs_error) AS mae, stddev_samp(abs_error) AS mae_std, sqrt(avg(residual * residual)) AS rmse, median(abs_error) AS mdae FROM err),
+x(report, item, number) AS (SELECT 'ledger', k, round(v, 4) FROM (UNPIVOT (SELECT {metric} FROM m) ON {', '.join(_METRICS)} INTO NAME k VALUE v) UNION ALL {slices}
+UNION ALL SELECT 'mae_by_age', b.age_bin, round(avg(abs_error), 4) FROM (SELECT unnest(['0-30', '31-90', '91-180', '181-365', '365+']) AS age_bin) b LEFT JOIN err USING (age_bin) GROUP BY b.age_bin)
+SELECT '{split}' AS split_strategy, report, item, number FROM x"""
+
+
+@query(f"SELECT * FROM ({_run_sql('by_history', Q.by_history())}) UNION ALL SELECT * FROM ({_run_sql('by_file', Q.by_file_split())})")
+def training_run(spark, d):
+    """A training run of the median baseline on both splits, read back from what it wrote: the ledger and the reports."""
+    at, stamp = _scratch(spark), "run"
+    project = T.Project("orders", tuple(T.Job(T.MEDIAN, split) for split in ("by_history", "by_file")))
+    ledger = T.run(spark, H.commit_facts(spark, d), project, at, stamp, Q.AS_OF)
+    found = ledger.unpivot(["split_strategy"], list(_METRICS), "item", "number").select("split_strategy", F.lit("ledger").alias("report"), "item", "number")
+    for job in project.jobs:
+        for report, value in [("mae_by_age", "mae"), *((r, "mean_error") for r in T.SLICE_REPORTS.values())]:
+            rows = T.sinks.read_csv(spark, f"{at}/orders/{stamp}/reports/{job.model}-{job.split}-{T.ALL}/{report}", f"item string, {value} double")
+            found = found.unionByName(rows.select(F.lit(job.split).alias("split_strategy"), F.lit(report).alias("report"), "item", F.col(value).alias("number")))
+    return found.withColumn("number", rd("number", 4))
+
+
+@query()
+def training_models(spark, d):
+    """A run of two models with an ablation of named groups: its rows of the ledger."""
+    groups = {"sizes": ["size_", "rolling_", "lag_", "cumulative_"], "names": ["ext_", "in_", "is_"]}
+    project = T.Project("orders", (T.Job("linear_regression", "by_file"), T.Job("xgboost", "by_history", {"n_estimators": 4})), ablation=True, groups=groups)
+    return T.run(spark, H.commit_facts(spark, d), project, _scratch(spark), "run", Q.AS_OF)
+
+
 @query(f"""WITH {Q.by_history()}, n AS (SELECT ord, path, row_number() OVER (ORDER BY date, ord) - 1 AS place, count(*) OVER () AS rows FROM split WHERE split = 'train')
 SELECT ord, path, CAST(CASE WHEN place < rows - 5 * greatest(rows // 6, 1) THEN 0 ELSE (place - (rows - 5 * greatest(rows // 6, 1))) // greatest(rows // 6, 1) + 1 END AS INTEGER) AS fold FROM n""")
 def time_folds(spark, d):

@@ -80,8 +80,12 @@ p1 AS (SELECT path, row_number() OVER (ORDER BY md5(concat(path, '42')), path) A
 fsplit AS (SELECT lab.*, CASE WHEN rk <= floor(total * 0.8) THEN 'train' ELSE 'test' END AS split FROM lab JOIN p1 USING (path) WHERE days_until_completion IS NOT NULL)"""
 
 
-def errors() -> str:
-    return by_history() + """,
+def by_file_split() -> str:
+    return by_file() + ",\nsplit AS (SELECT * FROM fsplit)"
+
+
+def errors(split: str | None = None) -> str:
+    return (split or by_history()) + """,
 mid AS (SELECT median(ln(1 + days_until_completion)) AS m FROM split WHERE split = 'train'),
 e1 AS (SELECT split.*, CAST(days_until_completion AS DOUBLE) AS actual, greatest(exp(least(m, 15)) - 1, 0) AS pred FROM split, mid WHERE split = 'test'),
 e2 AS (SELECT *, actual - pred AS residual, abs(actual - pred) AS abs_error, (actual - pred) / (actual + 1e-6) AS relative_error FROM e1),
