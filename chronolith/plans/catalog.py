@@ -857,7 +857,7 @@ def stream_upsert(spark, d):
     stream = sync.landed(spark, d, e.schema, files="events.parquet").select(F.col("user_id").alias("sha"), "event_id")
     at = _scratch(spark)
     sync.upsert_stream(stream, f"{at}/store", f"{at}/marks").awaitTermination()
-    return spark.read.parquet(f"{at}/store").select("sha", "event_id")
+    return sync.stored(spark, f"{at}/store", stream.schema).select("sha", "event_id")
 
 
 @query("SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
