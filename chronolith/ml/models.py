@@ -9,11 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators.errors import error_frame, extremes, metrics
-from ..operators.splits import curve_folds, group_places, group_windows, time_folds
+from ..operators.splits import curve_folds, group_places, group_windows, in_order, time_folds
 from ..schema import NOT_FEATURES
 from ..session import checkpointed
 from . import trees as TR
@@ -135,11 +134,15 @@ def predict_unlabelled(model: PipelineModel, df: DataFrame, columns: list[str],
 
 
 def linear_contributions(model: PipelineModel, df: DataFrame, columns: list[str], keep: tuple[str, ...] = ("ord", "path")) -> DataFrame:
-    """Exact Shapley values of a linear model: coefficient times distance from the mean."""
+    """Exact Shapley values of a linear model."""
     coef = model.stages[-1].coefficients.toArray().tolist()
-    rows = prepared(df, columns)
-    means = rows.agg(*[F.avg(c).alias(f"{c}__mean") for c in columns])
-    return rows.crossJoin(F.broadcast(means)).select(*keep, *[(F.lit(w) * (F.col(c) - F.col(f"{c}__mean"))).alias(c) for c, w in zip(columns, coef, strict=True)])  # one row
+    return given_contributions(dict(zip(columns, coef, strict=True)), prepared(df, columns), keep)
+
+
+def given_contributions(weights: dict[str, float], rows: DataFrame, keep: tuple[str, ...] = ("ord", "path")) -> DataFrame:
+    """Exact Shapley values of a weighted sum: weight times distance from the mean."""
+    means = rows.agg(*[F.avg(c).alias(f"{c}__mean") for c in weights])
+    return rows.crossJoin(F.broadcast(means)).select(*keep, *[(F.lit(w) * (F.col(c) - F.col(f"{c}__mean"))).alias(c) for c, w in weights.items()])  # one row
 
 
 def node_tables(model: PipelineModel | Boosted) -> list[TR.Tree]:
@@ -188,14 +191,20 @@ def contributions_by(contributions: DataFrame, group: str, columns: list[str], n
     return contributions.join(F.broadcast(top), group).groupBy(group).agg(F.max("rows").alias("rows"), *[F.avg(F.abs(c)).alias(c) for c in columns])  # n rows
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], seed: int = 42) -> list[tuple[str, float]]:
-    """Rise of the mean absolute error when one column is taken from another row, for models without exact contributions."""
-    base = evaluate(model, df, columns).first().mae
-    out = []
-    for c in columns:
-        mixed = df.withColumn("_v", F.lead(c).over(Window.partitionBy(F.pmod(F.xxhash64("ord", F.lit(seed)), F.lit(64))).orderBy(F.xxhash64("ord", F.lit(seed + 1)))))
-        out.append((c, evaluate(model, mixed.withColumn(c, F.coalesce("_v", c)).drop("_v"), columns).first().mae - base))
-    return sorted(out, key=lambda x: (-x[1], x[0]))
+def permutation_importance(model: PipelineModel | Boosted, df: DataFrame, columns: list[str], seed: int = 42) -> list[tuple[str, float]]:
+    """Rise of the mean absolute error when one column is taken from another row, for models without exact contributions.
+
+    Rows are put in order of a hash once and each takes its values from the one before it, the first from the last. All
+    columns are scored in one pass without a further shuffle: a row is scored as it is and once for each column.
+    """
+    placed = in_order(df.withColumn("_h", F.xxhash64("ord", F.lit(seed))), "_h", "ord")
+    other = placed.select(F.pmod(F.col("place") + 1, F.col("rows")).alias("place"), F.struct(*columns).alias("_other"))
+    which = F.explode(F.array(F.lit(""), *[F.lit(c) for c in columns]))
+    many = placed.join(other, "place").withColumn("_which", which)
+    many = many.withColumns({c: F.when(F.col("_which") == c, F.col("_other")[c]).otherwise(F.col(c)) for c in columns}).drop("_other")
+    found = error_frame(predict(model, many, columns)).groupBy("_which").agg(F.avg("abs_error").alias("mae"))
+    mae = {r["_which"]: r.mae for r in found.collect()}  # a row a column
+    return sorted([(c, mae[c] - mae[""]) for c in columns if c in mae], key=lambda x: (-x[1], x[0]))
 
 
 def partial_dependence(model: PipelineModel, sample: DataFrame, columns: list[str], feature: str, grid: list[float], ice: bool = False) -> DataFrame:

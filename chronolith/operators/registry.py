@@ -35,8 +35,3 @@ def apply(df: DataFrame, wanted: list[str] | None = None) -> tuple[DataFrame, li
         df, more = _known[name](df)
         flags += more
     return df, flags
-
-
-def columns_of(df: DataFrame, generator: str) -> list[str]:
-    """The columns that a generator adds to df."""
-    return [c for c in _known[generator](df)[0].columns if c not in df.columns]

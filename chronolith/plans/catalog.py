@@ -81,7 +81,7 @@ def modelled(spark, d) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
     columns = [c for cs in groups.values() for c in cs]
     plain = [c for c in columns if c not in flags]
     df = checkpointed(df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in plain}))
-    return P.scale(df, P.fit_scaler(df.where("split = 'train'"), plain, exact=False), plain), columns, groups
+    return checkpointed(P.scale(df, P.fit_scaler(df.where("split = 'train'"), plain, exact=False), plain)), columns, groups
 
 
 def rows_of(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -242,11 +242,12 @@ _PLACES = {
     "cumulative_size": 6, "cumulative_mean_size": 4, "cumulative_std_size": 3, "rolling_7_mean_size": 4, "rolling_7_std_size": 3, "percentage_change_size": 6,
     "recent_growth_ratio": 3, "ema_7_size": 4, "add_ratio": 6,
 }
-_SEVERAL = ", ".join(f"coalesce({c}, 0) AS {c}" for c in (
+_NUMERIC = (
     "lines_added", "lines_deleted", "line_change", "commit_num", "commits_last_30d", "commits_last_90d", "commit_interval_days", "max_commit_interval_to_date", "is_first_commit", "age_in_days", "weekday", "month",
     "path_depth", *X.PATH_FLAGS, "size", "size_diff", "rolling_7_max_size", "rolling_7_min_size", "rolling_7_median_size", *[f"lag_{k}_size" for k in range(1, 6)],
     "pure_addition", "pure_deletion", "cum_lines_added", "cum_lines_deleted", "cum_line_change", "cum_pure_addition", "cum_pure_deletion", *_PLACES,
-))
+)
+_SEVERAL = ", ".join(f"coalesce({c}, 0) AS {c}" for c in _NUMERIC)
 _PARTS = ("history_features", "path_features", "path_onehot", "size_features", "size_ema", "line_features", "committer_features", "labels")
 
 
@@ -286,13 +287,16 @@ def feature_correlation(spark, d):
     return E.correlations(labelled(spark, d), list(_CORR)).withColumn("correlation", rd("correlation"))
 
 
-@query()
+_FRAME_CORR = tuple(c for c in _NUMERIC if c not in ("size", "cumulative_size"))
+
+
+@query(f"""WITH frame AS ({_sql["feature_frame"]}), one AS (SELECT {', '.join(f'corr({c}, days_until_completion) AS {c}' for c in _FRAME_CORR)} FROM frame),
+long AS (UNPIVOT one ON {', '.join(_FRAME_CORR)} INTO NAME feature VALUE correlation) SELECT feature, round(correlation, 5) + 0.0 AS correlation FROM long WHERE NOT isnan(correlation) ORDER BY abs(correlation) DESC, feature LIMIT 20""")
 def feature_correlation_all(spark, d):
-    """The 20 numeric features of all generators that go with the target most."""
-    df, flags = X.feature_frame(H.commit_facts(spark, d))
-    df = L.add_target(L.label(df, Q.AS_OF))
-    columns = M.feature_columns(df, flags)
-    return E.correlations(df.withColumns({c: F.col(c).cast("double") for c in columns}), columns).withColumn("correlation", rd("correlation"))
+    """The 20 numeric features of all generators that go with the target most, but the sizes themselves."""
+    df = feature_frame(spark, d)
+    columns = [c for c in M.feature_columns(df) if c not in ("cumulative_size", "date_us", "completion_us")]
+    return E.correlations(df, columns).withColumn("correlation", rd("correlation", 5))
 
 
 # Splits and scaling
@@ -647,7 +651,6 @@ def plot_error_curve(spark, d):
 def _model(name: str, model: str):
     def run(spark, d):
         df, columns, _ = modelled(spark, d)
-        df = df.cache()
         return M.evaluate(M.fit(df.where("split = 'train'"), columns, model), df.where("split = 'test'"), columns)
 
     run.__name__ = name
@@ -660,7 +663,6 @@ for _name, _column in (("ml_linear", "linear_regression"), ("ml_rf", "random_for
 
 def _fitted(spark, d, model="linear_regression"):
     df, columns, groups = modelled(spark, d)
-    df = df.cache()
     return df, columns, groups, M.fit(df.where("split = 'train'"), columns, model)
 
 
@@ -684,6 +686,18 @@ def shap_linear(spark, d):
     return M.mean_contributions(M.linear_contributions(model, df, columns), columns)
 
 
+_WEIGHTS = {"commit_num": -0.02, "age_in_days": -0.0015, "line_change": 0.001, "commit_interval_days": 0.004}
+
+
+@query(f"""WITH {Q.by_history()}, m AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in _WEIGHTS)} FROM split),
+one AS (SELECT {", ".join(f"avg(abs({w} * (split.{c} - m.{c}))) AS {c}" for c, w in _WEIGHTS.items())} FROM split, m)
+SELECT feature, round(mean_abs, 6) AS mean_abs FROM (UNPIVOT one ON {", ".join(_WEIGHTS)} INTO NAME feature VALUE mean_abs)""")
+def shap_given(spark, d):
+    """Mean absolute contributions of a weighted sum whose weights are given."""
+    found = M.given_contributions(_WEIGHTS, history_split(spark, d))
+    return M.mean_contributions(found, list(_WEIGHTS)).withColumn("mean_abs", rd("mean_abs"))
+
+
 @query()
 def shap_by_committer(spark, d):
     df, columns, _, model = _fitted(spark, d)

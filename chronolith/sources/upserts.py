@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def insert_absent(target: DataFrame, batch: DataFrame, key: str = "sha", order: list[str] | None = None) -> DataFrame:
@@ -71,7 +70,3 @@ def feature_records(features: DataFrame, key: str = "path", order: tuple = ("dat
 def latest(df: DataFrame, key: str = "path", order: tuple = ("date", "ord")) -> DataFrame:
     """The last row of each key: one aggregate, no sort."""
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
-
-
-def ranked(df: DataFrame, key: str, order: list) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

@@ -43,7 +43,7 @@ def plain(rows):
     return sorted(repr(tuple(round(x, 5) if isinstance(x, float) else x for x in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["history_features_subday", "feature_frame", "path_onehot", "size_features", "size_ema", "line_features", "committer_features", "labels", "completion_summary", "split_history", "split_file", "error_frame", "upsert_insert_absent", "upsert_overwrite_repeated", "rename_lineage", "stream_activity", "feature_correlation", "full_history", "cooccurrence_topk", "file_tracking", "time_folds", "group_folds", "curve_folds", "plot_violin", "plot_quantiles", "plot_shares", "plot_residuals", "plot_error_curve"])
+@pytest.mark.parametrize("name", ["history_features_subday", "feature_frame", "path_onehot", "size_features", "size_ema", "line_features", "committer_features", "labels", "completion_summary", "split_history", "split_file", "error_frame", "upsert_insert_absent", "upsert_overwrite_repeated", "rename_lineage", "stream_activity", "feature_correlation", "full_history", "cooccurrence_topk", "file_tracking", "time_folds", "group_folds", "curve_folds", "plot_violin", "plot_quantiles", "plot_shares", "plot_residuals", "plot_error_curve", "feature_correlation_all", "training_run", "shap_given", "stream_upsert"])
 def test_same_rows_as_sql(spark, small, con, name):
     want = con.execute(catalog.oracle_sql()[name])
     names = [c[0] for c in want.description]
