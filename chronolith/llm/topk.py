@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, numbered, rows_out, ship, small_join
 
-SHARD, BLOCK, SEED, LEAF, DEALS = 8192, 1024, 2048, 64, 256
+SHARD, BLOCK, SEED, LEAF, DEALS, BUILD = 8192, 1024, 2048, 64, 256, 4
 LONG = 1 << 63
 
 
@@ -205,13 +205,23 @@ def best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def deals_of(parts: int) -> int:
+    """How many deals that many shards make: at least DEALS where there are enough, and at most BUILD shards in each, so
+    that what a task builds has one size whatever the table's."""
+    return max(min(parts, DEALS), -(-parts // BUILD))
+
+
+def dealt(vectors: DataFrame, parts: int) -> DataFrame:
+    """(dim, number, pack, deal): the shards' trees, dealt by the partition that they were built in."""
+    shards = trees(vectors.repartition(parts, F.xxhash64("vec_id", "copy")), SHARD, LEAF)
+    return cut(shards.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(deals_of(parts))).cast("int")))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): queries(vec_id, q, copy) against all rows of vectors(vec_id, q, copy) but the query itself."""
     ship(vectors.sparkSession)
     parts = max(1, -(-vectors.count() // SHARD))
-    deals = min(parts, DEALS)
-    shards = trees(vectors.repartition(parts, F.xxhash64("vec_id", "copy")), SHARD, LEAF)
-    shards = cut(shards.withColumn("deal", F.pmod(F.xxhash64("number"), F.lit(deals)).cast("int")))
+    deals, shards = deals_of(parts), dealt(vectors, parts)
     ask = cut(queries)
     asked = max(1, -(-ask.count() // BLOCK))
 
@@ -221,9 +231,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     floor = best(search(first.select("block", "pack"), k), k).groupBy("query_id", "query_copy").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k)
     floor = floor.select(F.col("query_id").alias("vec_id"), F.col("query_copy").alias("copy"), F.col("floor").cast("double").alias("floor"))
     known = cut(ask.join(floor, ["vec_id", "copy"], "left").select("vec_id", "copy", "q", "floor"))
-    # Blocks stream past the trees of their deal, which are the side that is built.
+    # Blocks stream past the trees of their deal, which are the side that is built. As many partitions as deals: by hash a
+    # task gets one on average, and a few at most.
     each = blocks(known.repartition(asked, "vec_id", "copy"), BLOCK).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    pairs = each.join(shards.select("deal", "dim", "pack").hint("shuffle_hash"), ["deal", "dim"])
+    built = shards.select("deal", "dim", "pack").repartition(deals, "deal", "dim")
+    pairs = each.repartition(deals, "deal", "dim").join(built.hint("shuffle_hash"), ["deal", "dim"])
     return best(search(pairs.select("block", "pack"), k), k).select("query_id", "rank", "vec_id", "score")
 
 

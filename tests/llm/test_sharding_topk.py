@@ -112,6 +112,17 @@ def test_top_k_of_repeated_ids_and_large_components(spark):
     assert found(spark, rows, 5) == brute(rows, 20, 5)
 
 
+def test_a_deal_has_a_bounded_number_of_shards(spark, monkeypatch):
+    assert [topk.deals_of(n) for n in (1, 7, 256, 1024, 1025, 100_000)] == [1, 7, 256, 256, 257, 25_000]
+    monkeypatch.setattr(topk, "SHARD", 16)
+    monkeypatch.setattr(topk, "DEALS", 2)
+    rows = spark.range(640).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("copy"), F.array(F.col("id"), F.col("id") * 7 % 64).alias("q"))
+    found = topk.dealt(rows, 40)
+    assert found.select("deal").distinct().count() == 10
+    parts = [r.n for r in found.groupBy("deal").agg(F.count("*").alias("n")).collect()]
+    assert max(parts) <= 2 * topk.BUILD  # a full shard and the rest of its partition
+
+
 def test_the_tree_prunes_and_stays_exact():
     """On clustered vectors most pairs of a query and a node are never opened, and shards hand their k-th score on."""
     rnd = np.random.default_rng(5)
