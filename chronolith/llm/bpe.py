@@ -5,7 +5,9 @@ one flat array. A round takes each word's lowest rank, merges that pair from the
 up in the sorted pair keys by binary search, until no word has a pair left. Words then give their ids by offset, so
 the ids of a batch of texts are one gather.
 
-Defined cases: a null text is an empty one, with no ids; a text of any length is one row, handled whole.
+Defined cases: a null text is an empty one, with no ids; a text of any length is one row, handled whole; each of
+several equal rows, or rows of one or no doc_id, gives a row of its own; an empty table gives none; columns but doc_id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ all other counts cover all rows. Everything is DataFrame functions: one counting
 one scoring pass without a shuffle.
 
 Defined cases: null and empty texts have no words and fail the base rule; without trusted documents every ratio is
-zero and the base rule decides alone; rows that repeat count as often as they are there.
+zero and the base rule decides alone; rows that repeat count as often as they are there; a text of any length is counted
+and scored whole, in one row; an empty table gives none; the columns that judging adds may be there under the same names:
+keep_passing returns the rows as they came.
 """
 
 from __future__ import annotations
